@@ -56,3 +56,21 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int, s
     for c in on[1:]:
         cond &= c
     return big.join(right, cond, "left").drop("__salt", "__rsalt", *[f"__k{i}" for i in range(len(keys))])
+
+
+#: A key with more rows than this on the other side of a join is spread over several salts.
+HOT_ROWS = 500
+
+
+def fan_join(big: DataFrame, small: DataFrame, keys: list[str], fan: str, spread: Column, how: str = "inner") -> DataFrame:
+    """big joined with small (one row for each key) where column ``fan`` says how many rows of big a key has.
+
+    Keys with more than HOT_ROWS rows get a salt for every HOT_ROWS of them; their list, at most a HOT_ROWS-th of big's
+    rows, goes through lookup(). All other keys join once.
+    """
+    hot = cut(small.filter(F.col(fan) > HOT_ROWS).select(*keys, F.ceil(F.col(fan) / HOT_ROWS).cast("int").alias("__n")))
+    marked = lookup(big, hot, keys, hot.count(), spread)
+    marked = marked.withColumn("__s", F.when(F.col("__n") > 0, F.pmod(F.xxhash64(spread, F.lit(1)), F.col("__n")).cast("int")).otherwise(0)).drop("__n")
+    salts = F.greatest(F.lit(1), F.ceil(F.col(fan) / HOT_ROWS)).cast("int")
+    right = small.withColumn("__s", F.explode(F.when(F.col(fan) > HOT_ROWS, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
+    return marked.join(right, [*keys, "__s"], how).drop("__s", fan)

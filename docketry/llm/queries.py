@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, rules, urls
+from . import chat, langid, mixing, neardup, quality, rules, tokens, urls
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op2_language": langid.op2_language,
+    "op4_quality": quality.op4_quality,
     "op6_host_rules": rules.op6_host_rules,
     "op7_url_templates": urls.op7_url_templates,
+    "op8_token_counts": tokens.op8_token_counts,
+    "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_chat_events": chat.op10_chat_events,
 }
 
