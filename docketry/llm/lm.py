@@ -27,10 +27,10 @@ from .common import cut, fan_join, fold
 from .shingles import mix, pieces, words
 from .textbytes import as_bytes
 
-DEPTH = 4
+DEPTH = 5
 EDGE = 0xFF
 #: Slots of the tables of depth 0 to DEPTH; the first two have one for each node.
-SLOTS = (1 << 8, 1 << 16, 1 << 20, 1 << 21, 1 << 22)
+SLOTS = (1 << 8, 1 << 16, 1 << 20, 1 << 20, 1 << 21, 1 << 22)
 WORD_SLOTS = 1 << 20
 #: The end token's place among word hashes.
 END_KEY = 0x5EED
@@ -179,14 +179,16 @@ def build(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     grams = counts.filter("kind = 1").select("key", "n")
     near = F.col("key").bitwiseAND(F.lit(0xFFFFFF00))  # the three context bytes next to the symbol
     spread = grams.repartition(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), near)
-    nodes = spread.mapInArrow(run, "sum_row boolean, at long, a double, b double, c double").groupBy("sum_row", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
-    got = nodes.toArrow()  # at most SLOTS rows of deep nodes and 2**24 of depth 2
-    top = got.column("sum_row").to_numpy(zero_copy_only=False).astype(bool)
-    at, a, b, c = (got.column(x).to_numpy() for x in ("at", "a", "b", "c"))
-    p_table, s_table = np.full(_OFFSETS[-1], 0.5, np.float32), np.full(_OFFSETS[-1], -1, np.float32)
-    deep = ~top
-    p_table[at[deep]], s_table[at[deep]] = b[deep] / a[deep], c[deep] / a[deep]
-    code, n0, n1, below = at[top], a[top], b[top], c[top]
+    rows = spread.mapInArrow(run, "sum_row boolean, at long, a double, b double, c double")
+    nodes = cut(rows.groupBy("sum_row", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")))
+    p_table, s_table = np.full(_OFFSETS[-1], 0.5, np.float32), np.full(_OFFSETS[-1], -1, np.float16)
+    for depth in range(DEPTH, 2, -1):  # one depth at a time, each at most SLOTS[depth] rows
+        mine = nodes.filter(~F.col("sum_row") & F.col("at").between(int(_OFFSETS[depth]), int(_OFFSETS[depth + 1]) - 1))
+        got = mine.select(F.col("at").cast("int"), (F.col("b") / F.col("a")).cast("float").alias("p"), (F.col("c") / F.col("a")).cast("float").alias("s")).toArrow()
+        where = got.column("at").to_numpy()
+        p_table[where], s_table[where] = got.column("p").to_numpy(), got.column("s").to_numpy()
+    got = nodes.filter("sum_row").select("at", "a", "b", "c").toArrow()  # nodes of depth 2: at most 2**24, a few hundred thousand in UTF-8 text
+    code, n0, n1, below = (got.column(x).to_numpy() for x in ("at", "a", "b", "c"))
     for depth in (2, 1, 0):
         p, share, total = weigh(n0, n1, below)
         n = n0 + n1

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, neardup, quality, rules, tokens, urls
+from . import chat, langid, lm, mixing, neardup, quality, rules, tokens, urls
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_language": langid.op2_language,
     "op4_quality": quality.op4_quality,
+    "op5_context_tree": lm.op5_context_tree,
     "op6_host_rules": rules.op6_host_rules,
     "op7_url_templates": urls.op7_url_templates,
     "op8_token_counts": tokens.op8_token_counts,
