@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +30,17 @@ def fold(c: Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the folder that all executors share (spark.checkpoint.dir)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset, a folder of the session's own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docketry-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -74,3 +80,18 @@ def fan_join(big: DataFrame, small: DataFrame, keys: list[str], fan: str, spread
     salts = F.greatest(F.lit(1), F.ceil(F.col(fan) / HOT_ROWS)).cast("int")
     right = small.withColumn("__s", F.explode(F.when(F.col(fan) > HOT_ROWS, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
     return marked.join(right, [*keys, "__s"], how).drop("__s", fan)
+
+
+def keep_rows(docs: DataFrame, mask, **extra: Column) -> DataFrame:
+    """The rows of docs for which mask(Arrow batch) is true, all columns as they are; extra columns are worked out for mask only.
+
+    Rows are filtered where they are read, so nothing is shuffled or joined.
+    """
+    names = docs.columns
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.select(names).filter(pa.array(mask(b)))
+
+    return docs.select("*", *[c.alias(k) for k, c in extra.items()]).mapInArrow(run, docs.schema)

@@ -16,10 +16,10 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, keep_rows
 from .textbytes import as_bytes, labelled_sample
 
 PER_LANGUAGE = 300
@@ -137,25 +137,33 @@ def decode(model: dict, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return z.argmax(1), order[:, -1], order[:, -1] - order[:, -2]
 
 
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def judge(model: dict, text, letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and whether it is in doubt, of the texts of an Arrow column."""
+    n = len(text)
+    lang, score, doubt = np.full(n, UND, dtype=object), np.zeros(n), np.ones(n, bool)
+    if model["names"] and n:
+        best, share, lead = decode(model, margins(model, *as_bytes(text)))
+        ok = letters.to_numpy(zero_copy_only=False).astype(bool)
+        lang[ok] = np.array(model["names"], dtype=object)[best[ok]]
+        score[ok], doubt[ok] = np.clip(share[ok], 0, 1), lead[ok] < AMBIGUOUS
+    return lang, score, doubt
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous. The model is broadcast; its size depends on the number of languages only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
     def run(batches):
-        model = shared.value
         for b in batches:
-            n = b.num_rows
-            lang, score, doubt = np.full(n, UND, dtype=object), np.zeros(n), np.ones(n, bool)
-            if model["names"] and n:
-                best, share, lead = decode(model, margins(model, *as_bytes(b.column("text"))))
-                ok = b.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-                lang[ok] = np.array(model["names"], dtype=object)[best[ok]]
-                score[ok], doubt[ok] = np.clip(share[ok], 0, 1), lead[ok] < AMBIGUOUS
+            lang, score, doubt = judge(shared.value, b.column("text"), b.column("letters"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(doubt)], schema=schema)
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), "text", letters.alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text", has_letter().alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def fit(docs: DataFrame) -> dict:
@@ -165,9 +173,9 @@ def fit(docs: DataFrame) -> dict:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """docs without those whose text is null or has no letter, or whose language is ambiguous; all columns stay."""
-    said = predict(docs, fit(docs)).filter((F.col("lang_pred") != UND) & ~F.col("ambiguous")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(said, F.col("doc_id") == F.col("__id"), "left_semi")
+    """docs without those whose text is null or has no letter, or whose language is in doubt; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    return keep_rows(docs, lambda b: ~judge(shared.value, b.column("text"), b.column("__letters"))[2], __letters=has_letter())
 
 
 def op2_language(spark, sf_dir) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, keep_rows
 from .textbytes import as_bytes, labelled_sample
 
 PER_LABEL = 500
@@ -165,8 +165,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score is at least 0.5; all columns stay."""
-    good = predict(docs, fit(docs, labels)).filter("score >= 0.5").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("__id"), "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return keep_rows(docs, lambda b: scores(shared.value, *as_bytes(b.column("text"))) >= 0.5)
 
 
 def op4_quality(spark, sf_dir) -> DataFrame:

@@ -52,13 +52,13 @@ def pieces(off: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of all words of the texts data[off[i]:off[i+1]], and each text's first word."""
+def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words of the texts data[off[i]:off[i+1]], and each text's first word; space marks the bytes between words."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z.astype(U), z, z, np.zeros(len(off), np.int64)
-    gap = SPACE[data]
+    gap = space[data]
     at_start = np.zeros(n + 1, bool)
     at_start[off] = True
     before = np.empty(n, bool)
