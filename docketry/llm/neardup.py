@@ -9,9 +9,12 @@ distance. At a similarity of 0.85 a pair is farther apart than 17 of 45 position
 0.9 below 1e-7.
 
 All pairs of a bucket are never made. First every class is paired with the least and the greatest class of each of its
-buckets; confirmed links are merged into components; only then, in buckets that still hold several components, are
-classes of different components paired, if signatures and set sizes allow a link. What is joined in one component already
-needs no further pair, so components are exact for all pairs within the distance.
+buckets; confirmed links are merged into components. Buckets that still hold several components are cut into blocks of
+BLOCK classes, and each pair of blocks is compared in one step, in the first bucket that two classes share: classes of
+different components whose set sizes, signatures and sketches (the SKETCH least shingle hashes, which are the whole set of a
+shorter document) allow a link. Only links that merge something are handed on, and pairs that the sketches leave open are
+confirmed on full sets. What is joined in one component needs no further pair, so components are exact for all pairs
+within the distance.
 
 Nulls and odd rows: a null or wordless text has an empty set, is linked with nothing and is kept; rows that share a doc_id
 stay or go together; a null doc_id is kept and names no component; an empty table gives an empty result. Only
@@ -34,6 +37,12 @@ WORDS = 5
 BITS, CHUNKS, PER_CHUNK, ERRORS = 12, 9, 5, 1
 POSITIONS = CHUNKS * PER_CHUNK
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Classes of a bucket that are compared with as many others at a time, and shingle hashes in a sketch.
+BLOCK, SKETCH = 256, 256
+#: Sketches of cut sets leave a pair open down to so many standard deviations below the threshold.
+DEVIATIONS = 5
+#: Ids of documents to shingle again are broadcast up to this number; beyond it the texts are shuffled.
+BROADCAST_IDS = 1_000_000
 #: Sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -75,8 +84,8 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 and the sorted distinct shingle hashes of every row."""
+def sets(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, k1, k2 and the sorted distinct shingle hashes (all, or the ``most`` least) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -87,6 +96,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 all_, at = shingles(hashes, first, WORDS)
                 own = [np.unique(all_[at[d] : at[d + 1]]) for d in range(j - i)]
                 key = np.array([(s.sum(), mix(s).sum()) for s in own], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                own = [s[:most] for s in own]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
                 flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
@@ -105,15 +115,86 @@ def _keys() -> F.Column:
     return F.array(*out)
 
 
-def _distance(a: str, b: str) -> F.Column:
-    """Positions that differ: every lane of the exclusive or that isn't zero sets its top bit."""
-    low = sum(((1 << BITS - 1) - 1) << BITS * v for v in range(PER_CHUNK))
-    top = sum(1 << BITS * v + BITS - 1 for v in range(PER_CHUNK))
-    total = F.lit(0)
-    for c in _CHUNK_COLS:
-        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
-        total = total + F.bit_count((x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top)))
-    return total
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids."""
+    return docs.join(ids.hint("broadcast" if ids.count() <= BROADCAST_IDS else "shuffle_hash"), "doc_id", "left_semi")
+
+
+def compare(cid, root, n, chunks, sketches, side, key_no: int) -> list[tuple[int, int, bool]]:
+    """Links (a, b, sure) that merge components among classes of two blocks (side 0 and 1; or one block, all on side 2).
+
+    A pair counts only in the bucket of the first key that its classes share. A pair is sure when both sketches are
+    whole sets; unsure pairs may be links.
+    """
+    lanes = (chunks[:, :, None] >> (BITS * np.arange(PER_CHUNK))) & ((1 << BITS) - 1)
+    parent = {int(r): int(r) for r in root}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i in range(len(cid)):
+        js = np.flatnonzero((root != root[i]) & ((side == 1) if side[i] == 0 else (side == 2) & (np.arange(len(cid)) > i)))
+        if not len(js):
+            continue
+        js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
+        differ = lanes[js] != lanes[i]
+        per = differ.sum(2)
+        ok = per <= ERRORS
+        chunk = ok.argmax(1)
+        lane = np.where(per[np.arange(len(js)), chunk] == 0, 0, differ[np.arange(len(js)), chunk].argmax(1))
+        js = js[(per.sum(1) <= MAX_DISTANCE) & (chunk * PER_CHUNK + lane == key_no)]
+        if not len(js):
+            continue
+        mine = sketches[i]
+        parts = [sketches[j] for j in js]
+        ends = np.cumsum([len(p) for p in parts])
+        flat = np.concatenate(parts)
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        both = np.concatenate([[0], np.cumsum(mine[at] == flat)])
+        shared = both[ends] - both[np.concatenate([[0], ends[:-1]])]
+        for j, same in zip(js.tolist(), shared.tolist(), strict=True):
+            a, b = find(int(root[i])), find(int(root[j]))
+            if a == b:
+                continue
+            sure = n[i] <= SKETCH and n[j] <= SKETCH
+            if sure:
+                hit = 100 * same >= PERCENT * (n[i] + n[j] - same)
+            else:  # the least hashes of the union, and how many of them are in both
+                union = np.union1d(mine, sketches[j])[:SKETCH]
+                low = np.intersect1d(mine, sketches[j])
+                share = np.count_nonzero(low <= union[-1]) / len(union)
+                hit = share >= PERCENT / 100 - DEVIATIONS * np.sqrt(0.01 * PERCENT * (1 - 0.01 * PERCENT) / len(union))
+            if hit:
+                out.append((int(min(cid[i], cid[j])), int(max(cid[i], cid[j])), bool(sure)))
+                if sure:
+                    parent[max(a, b)] = min(a, b)
+    return out
+
+
+def _cross(sides: DataFrame) -> DataFrame:
+    """(a, b, sure) from buckets with several components; sides: key, key_no, fan, cid, root, n, chunks and sketch."""
+    blocks = F.ceil(F.col("fan") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(5), "cid"), blocks).cast("int")
+    at = sides.withColumn("__b", own).withColumn("__o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    at = at.withColumns({"__lo": F.least("__b", "__o"), "__hi": F.greatest("__b", "__o")})
+    at = at.withColumn("side", F.when(F.col("__lo") == F.col("__hi"), 2).when(F.col("__b") == F.col("__lo"), 0).otherwise(1))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+
+    def run(t):
+        got = []
+        if t.num_rows > 1:
+            col = lambda c: t.column(c).to_numpy()
+            lists = t.column("sketch").combine_chunks()
+            flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            sketches = [flat[ends[i] : ends[i + 1]] for i in range(t.num_rows)]
+            chunks = np.stack([col(c) for c in _CHUNK_COLS], 1)
+            got = compare(col("cid"), col("root"), col("n"), chunks, sketches, col("side"), int(col("key_no")[0]))
+        return pa.Table.from_pydict({k: [x[i] for x in got] for i, k in enumerate(schema.names)}, schema=schema)
+
+    return at.groupBy("key", "__lo", "__hi").applyInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -124,7 +205,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = cut(pairs)
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     fans = cut(ends.groupBy("id").agg(F.count("*").alias("fan")))
-    full = cut(sets(docs.join(fans.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    full = cut(sets(_only(docs, fans.select(F.col("id").alias("doc_id")))).dropDuplicates(["doc_id"]))
     known = fans.join(full.select(F.col("doc_id").alias("id"), "shingles"), "id")
     side = lambda x: known.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}"), "fan")
     both = fan_join(fan_join(pairs, side("a"), ["a"], "fan", F.col("b")), side("b"), ["b"], "fan", F.col("a"))
@@ -134,7 +215,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, label) of every class that is linked with another; classes has cid, n and the chunks."""
-    keys = classes.select("cid", F.explode(_keys()).alias("key"))
+    keys = classes.select("cid", F.posexplode(_keys()).alias("key_no", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("fan"), F.min("cid").alias("low"), F.max("cid").alias("high")).filter("fan > 1")
     member = cut(fan_join(keys, buckets, ["key"], "fan", F.col("cid")))
     ends = member.select("cid", F.explode(F.array("low", "high")).alias("hub")).filter("cid != hub")
@@ -142,20 +223,20 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     links = cut(_confirmed(star, docs))
     label = cut(components(links))
     n_labels = label.count()
-    named = lookup(member.select("cid", "key"), label.select(F.col("node").alias("cid"), "label"), ["cid"], n_labels, F.col("key"))
-    named = named.select("cid", "key", F.coalesce("label", "cid").alias("root"))
-    # Buckets with several components, each bucket's classes with their signatures.
+    named = lookup(member.select("cid", "key", "key_no"), label.select(F.col("node").alias("cid"), "label"), ["cid"], n_labels, F.col("key"))
+    named = named.select("cid", "key", "key_no", F.coalesce("label", "cid").alias("root"))
+    # Buckets with several components, each bucket's classes with their signatures and sketches.
     open_ = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("fan")).filter("r1 != r2").select("key", "fan")
-    left = cut(fan_join(named, open_, ["key"], "fan", F.col("cid")))
-    sides = cut(left.join(classes.select("cid", "n", *_CHUNK_COLS), "cid"))
-    a, b = sides.alias("x"), sides.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.root") != F.col("y.root"))
-    near &= (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")) & (_distance("x", "y") <= MAX_DISTANCE)
-    cross = a.join(b, near).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    cross = cut(cross.join(star, ["a", "b"], "left_anti"))
-    if cross.isEmpty():
-        return label
-    return components(links.unionByName(_confirmed(cross, docs)))
+    left = cut(fan_join(named, open_.withColumn("size", F.col("fan")), ["key"], "fan", F.col("cid")).withColumnRenamed("size", "fan"))
+    ids = cut(left.select(F.col("cid").alias("doc_id")).distinct())
+    short = sets(_only(docs, ids), SKETCH).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), F.col("shingles").alias("sketch"))
+    known = classes.select("cid", "n", *_CHUNK_COLS).join(short, "cid")
+    cross = cut(_cross(left.join(known, "cid")))
+    open_pairs = cross.filter("not sure").select("a", "b")
+    more = cross.filter("sure").select("a", "b")
+    if not open_pairs.isEmpty():
+        more = more.unionByName(_confirmed(open_pairs, docs))
+    return components(links.unionByName(more))
 
 
 def group(docs: DataFrame) -> DataFrame:
