@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, keep_rows
+from .shingles import pieces
 from .textbytes import as_bytes, labelled_sample
 
 PER_LANGUAGE = 300
@@ -146,7 +147,9 @@ def judge(model: dict, text, letters) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n = len(text)
     lang, score, doubt = np.full(n, UND, dtype=object), np.zeros(n), np.ones(n, bool)
     if model["names"] and n:
-        best, share, lead = decode(model, margins(model, *as_bytes(text)))
+        data, off = as_bytes(text)
+        parts = [margins(model, data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in pieces(off)]
+        best, share, lead = decode(model, np.concatenate(parts))
         ok = letters.to_numpy(zero_copy_only=False).astype(bool)
         lang[ok] = np.array(model["names"], dtype=object)[best[ok]]
         score[ok], doubt[ok] = np.clip(share[ok], 0, 1), lead[ok] < AMBIGUOUS

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, keep_rows
+from .shingles import pieces
 from .textbytes import as_bytes, labelled_sample
 
 PER_LABEL = 500
@@ -75,8 +76,11 @@ def pool(m: dict, blocks: np.ndarray) -> np.ndarray:
 def scores(m: dict, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     if "constant" in m:
         return np.full(len(off) - 1, m["constant"])
-    blocks, first = to_blocks(data, off)
-    pooled = np.stack([pool(m, blocks[first[i] : first[i + 1]]) for i in range(len(off) - 1)]) if len(off) > 1 else np.zeros((0, 2 * FILTERS))
+    pooled = np.zeros((len(off) - 1, 2 * FILTERS), np.float32)
+    for a, b in pieces(off):
+        blocks, first = to_blocks(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        for i in range(b - a):
+            pooled[a + i] = pool(m, blocks[first[i] : first[i + 1]])
     return 1 / (1 + np.exp(-np.clip(pooled @ m["v"] + m["c"][0], -30, 30).astype(np.float64)))
 
 
