@@ -1,22 +1,544 @@
-"""Names of the reference-side queries, each with its DataFrame builder and DuckDB oracle."""
+"""Names of the queries, each with its DataFrame builder and, where SQL can express it, its DuckDB oracle."""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
+from ..functions import masking as M
+from ..functions import scalar as S
+from ..operators import cards, facts, graph, layout, ledger, registry
+from ..streaming import incremental
+from . import adapters as A
+from . import router
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _edges(spark, d):
+    return graph.judge(graph.candidate_pairs(graph.signals(A.facts(spark, d))))
+
+
+# --- Counts and lists ---
+
+
+@query("SELECT coalesce(nullif(lang,''),'其它') AS category, count(*) AS n_docs FROM documents GROUP BY 1")
+def docs_by_category(spark, d):
+    """A2: the planned question 'how many documents', by category."""
+    plan = router.route("一共有多少份文件？")
+    docs = A.documents(spark, d).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit(L.OTHER)))
+    assert plan["action"] == "count_docs"
+    return docs.groupBy("category").agg(F.count("*").alias("n_docs")).orderBy(F.desc("n_docs"), "category")
+
+
+_COUNTED = ("benchmark", "conversations", "customer", "documents", "embeddings", "labels", "lineitem", "orders", "pages")
+
+
+@query(" UNION ALL ".join(f'SELECT \'{t}\' AS "table", count(*) AS n_rows FROM {t}' for t in _COUNTED))
+def overview_counts(spark, d):
+    """A1, R8."""
+    return router.execute({"action": "overview"}, {t: A.table(spark, d, t) for t in _COUNTED})
+
+
+@query("SELECT count(*) AS n_docs FROM documents WHERE lang = 'fr'")
+def count_docs_category(spark, d):
+    """A3."""
+    return router.count_docs(A.documents(spark, d), "fr")
+
+
+@query(f"WITH {A.DOCUMENTS_SQL} SELECT doc_no, doc_key, category, summary FROM d WHERE category LIKE '%e%' ORDER BY doc_no DESC LIMIT 60")
+def list_docs(spark, d):
+    """The feature's limit is 60."""
+    return router.list_docs(A.documents(spark, d), category="e")
+
+
+def _ledger(spark, d):
+    o, c = A.table(spark, d, "orders"), A.table(spark, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("contract_no"), F.col("c_name").alias("party"), F.col("o_totalprice").cast("decimal(15,2)").alias("amount"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("signed"))
+
+
+_LEDGER = "l AS (SELECT o_orderkey AS contract_no, c_name AS party, o_totalprice::DECIMAL(15,2) AS amount, o_orderstatus AS status, strftime(o_orderdate,'%Y-%m-%d') AS signed FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+@query(f"WITH {_LEDGER} SELECT * FROM l WHERE contract_no::VARCHAR ILIKE '%77%' OR party ILIKE '%77%' OR amount::VARCHAR ILIKE '%77%' OR status ILIKE '%77%' OR signed ILIKE '%77%' ORDER BY contract_no LIMIT 200 OFFSET 10")
+def ledger_search(spark, d):
+    """One page of rows that have the words in any column."""
+    return ledger.search(_ledger(spark, d), "77", limit=200, offset=10, order="contract_no")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS party, o_orderstatus AS status, o_orderpriority AS note FROM orders WHERE o_orderkey % 3 <> 0),
+n AS (SELECT o_orderkey AS k, o_custkey + 1 AS party, 'N' AS status, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'new' END AS note FROM orders WHERE o_orderkey % 3 <> 1)
+SELECT coalesce(n.k, o.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.party ELSE o.party END AS party, CASE WHEN n.k IS NOT NULL THEN n.status ELSE o.status END AS status,
+CASE WHEN n.k IS NOT NULL THEN coalesce(n.note, o.note) ELSE o.note END AS note, CASE WHEN n.k IS NOT NULL AND o.k IS NOT NULL THEN 'updated' WHEN n.k IS NOT NULL THEN 'inserted' ELSE 'kept' END AS action
+FROM o FULL JOIN n ON o.k = n.k""")
+def ledger_upsert(spark, d):
+    """K7: old rows and new ones by key; the note keeps its old value where the new one is null."""
+    o = A.table(spark, d, "orders")
+    row = lambda party, status, note: [F.col("o_orderkey").alias("k"), party.alias("party"), status.alias("status"), note.alias("note")]
+    old = o.filter("o_orderkey % 3 != 0").select(*row(F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")))
+    new = o.filter("o_orderkey % 3 != 1").select(*row(F.col("o_custkey") + 1, F.lit("N"), F.when(F.col("o_orderkey") % 2 != 0, "new")))
+    return ledger.upsert(old, new, "k", keep_old=("note",))
+
+
+@query("SELECT o_orderstatus AS status, coalesce(o_orderpriority, 'all') AS kind, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus))")
+def inbox_counts(spark, d):
+    """A9."""
+    o = A.table(spark, d, "orders")
+    return ledger.inbox_counts(o.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind")))
+
+
+@query(f"""WITH {A.DOCUMENTS_SQL}, n AS (SELECT 'D' || doc_id AS doc_key, count(*) AS n FROM labels GROUP BY 1), t AS (SELECT 'D' || conv_id AS doc_key, count(*) AS n FROM conversations GROUP BY 1)
+SELECT d.doc_no, d.doc_key, d.category, d.summary, coalesce(n.n, 0) AS n_labels, coalesce(t.n, 0) AS n_turns FROM d LEFT JOIN n USING (doc_key) LEFT JOIN t USING (doc_key)""")
+def repo_state(spark, d):
+    """J2, A6, D5."""
+    keyed = lambda name, key: A.table(spark, d, name).select(F.concat(F.lit("D"), key).alias("doc_key"))
+    return ledger.repository_state(A.documents(spark, d), ("n_labels", keyed("labels", "doc_id")), ("n_turns", keyed("conversations", "conv_id")))
+
+
+@query("""WITH cur AS (SELECT 'O' || o_orderkey AS doc_key, o_orderstatus || o_custkey AS fingerprint FROM orders), st AS (SELECT 'O' || o_orderkey AS doc_key, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE o_orderstatus || o_custkey END AS built FROM orders WHERE o_orderkey % 2 = 0)
+SELECT doc_key, fingerprint, CASE WHEN built IS NULL THEN 'new' ELSE 'changed' END AS reason FROM cur LEFT JOIN st USING (doc_key) WHERE built IS NULL OR built <> fingerprint""")
+def pending_docs(spark, d):
+    """Documents never built or changed since."""
+    o = A.table(spark, d, "orders")
+    key, mark = F.concat(F.lit("O"), "o_orderkey").alias("doc_key"), F.concat("o_orderstatus", F.col("o_custkey").cast("string"))
+    state = o.filter("o_orderkey % 2 = 0").select(key, F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(mark).alias("fingerprint"))
+    return graph.pending(o.select(key, mark.alias("fingerprint")), state)
+
+
+@query("""SELECT c_custkey AS "user", c_mktsegment AS role, c_mktsegment IN ('BUILDING','MACHINERY') AS allowed FROM customer""")
+def permission_join(spark, d):
+    """J3, C1."""
+    grants = spark.createDataFrame([("BUILDING", "ledger:write"), ("MACHINERY", "ledger:write"), ("MACHINERY", "ledger:read"), ("FURNITURE", "ledger:read")], "role string, permission string")
+    return ledger.allowed(A.table(spark, d, "customer").select(F.col("c_custkey").alias("user"), F.col("c_mktsegment").alias("role")), grants, "ledger:write")
+
+
+# --- Identity and duplicates ---
+
+
+@query("SELECT sha256(text) AS content_hash, min('D' || lpad(doc_id::VARCHAR, 12, '0')) AS canonical, list_sort(list(DISTINCT 'D' || lpad(doc_id::VARCHAR, 12, '0'))) AS doc_keys, count(*) AS scans, (count(DISTINCT doc_id) - 1)::INT AS duplicates FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def content_dedup(spark, d):
+    """Canonical document of each content."""
+    docs = A.table(spark, d, "documents").filter("text is not null")
+    files = docs.select(F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("doc_key"), S.content_hash(F.col("text").cast("binary")).alias("content_hash"), F.lit(0).alias("scanned_at"))
+    return ledger.content_index(files)
+
+
+@query(r"SELECT sha256(regexp_replace(text, '[\s\p{Z}]+', '', 'g')) AS text_hash, count(*) AS n_docs FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def text_hash_dedup(spark, d):
+    """Documents by text without white space."""
+    docs = A.table(spark, d, "documents").filter("text is not null")
+    return docs.groupBy(S.text_hash(F.col("text")).alias("text_hash")).agg(F.count("*").alias("n_docs"))
+
+
+@query("""WITH f AS (SELECT sha256(text) AS h, doc_id, doc_id % 2 = 0 AS stored FROM documents WHERE text IS NOT NULL), ix AS (SELECT h, min(doc_id) AS canonical FROM f WHERE stored GROUP BY 1)
+SELECT f.doc_id, CASE WHEN canonical IS NULL THEN 'new' WHEN canonical % 10 = 0 THEN 'config_changed' WHEN canonical = f.doc_id THEN 'unchanged_skip' ELSE 'duplicate_skip' END AS decision FROM f LEFT JOIN ix USING (h)""")
+def dedup_decision(spark, d):
+    """What to do with each file, given what half of them left in the index."""
+    files = A.table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("doc_key"), S.content_hash(F.col("text").cast("binary")).alias("content_hash"), F.lit("t").alias("mask_tag"))
+    index = files.filter("doc_key % 2 = 0").groupBy("content_hash").agg(F.min("doc_key").alias("canonical")).withColumn("mask_tag", F.when(F.col("canonical") % 10 == 0, "old").otherwise("t"))
+    return ledger.dedup_decision(files, index).select(F.col("doc_key").alias("doc_id"), "decision")
+
+
+@query("WITH g AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)) SELECT count(*) AS contents, count(*) FILTER (n > 1) AS duplicated, sum(n - 1)::BIGINT AS skipped FROM g")
+def dedup_report(spark, d):
+    """A10."""
+    g = content_dedup(spark, d)
+    return g.agg(F.count("*").alias("contents"), F.count_if(F.col("scans") > 1).alias("duplicated"), F.sum(F.col("scans") - 1).alias("skipped"))
+
+
+@query("""WITH v AS (SELECT 'O' || o_orderkey AS doc_key, strftime(o_orderdate,'%Y-%m-%d') AS t FROM orders),
+f AS (SELECT doc_key, 'date_start_year' AS code, 0 AS seq, substr(t,1,4) AS v FROM v UNION ALL SELECT doc_key, 'date_start_month', 0, substr(t,1,7) FROM v UNION ALL SELECT doc_key, 'date_start_day', 0, t FROM v
+UNION ALL SELECT 'O' || o_orderkey, 'doc_type', 0, o_orderpriority FROM orders)
+SELECT doc_key, code, seq, substr(sha256(code || ':' || regexp_replace(v, '[\\s]+', '', 'g')), 1, 16) AS hash FROM f""".replace("\\\\", "\\"))
+def feature_hash(spark, d):
+    """Date and plain features of contracts, hashed."""
+    o = A.table(spark, d, "orders")
+    each = F.array(F.struct(F.lit("date_start").alias("code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value")), F.struct(F.lit("doc_type").alias("code"), F.col("o_orderpriority").alias("value")))
+    return facts.feature_hashes(o.select(F.concat(F.lit("O"), "o_orderkey").alias("doc_key"), F.explode(each).alias("f")).select("doc_key", "f.*"))
+
+
+# --- Facts ---
+
+
+_CELLS = ("l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+_ROWS_SQL = f"r AS (SELECT 'L' || l_orderkey AS doc_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus)::INT AS row_index, * FROM lineitem)"
+
+
+@query(f"WITH {_ROWS_SQL} " + " UNION ALL ".join(f"SELECT doc_key || '|cell|p1|t1|r' || row_index || '|c{i}' AS fact_id, doc_key, row_index, {i} AS col_index, '{c}' AS header, {'l_quantity::DECIMAL(18,2)' if c == 'l_quantity' else c}::VARCHAR AS value FROM r" for i, c in enumerate(_CELLS)))
+def cell_facts(spark, d):
+    """the cells of every line item table, with headers and places."""
+    li = A.table(spark, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    text = [(F.col(c).cast("decimal(18,2)") if c == "l_quantity" else F.col(c)).cast("string") for c in _CELLS]
+    rows = li.select("l_orderkey", F.row_number().over(order).alias("n"), F.array(*text).alias("row"))
+    tables = rows.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "row"))), lambda x: x["row"]).alias("rows"))
+    tables = tables.select(F.concat(F.lit("L"), "l_orderkey").alias("doc_key"), F.lit(1).alias("page_no"), F.lit(1).alias("table_index"), F.array(*[F.lit(c) for c in _CELLS]).alias("header"), "rows")
+    return facts.cell_facts(tables).filter("row_index > 0").select("fact_id", "doc_key", "row_index", "col_index", "header", "value")
+
+
+@query("""WITH s AS (SELECT doc_id, string_split(coalesce(text,''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM s)
+SELECT 'D' || doc_id AS doc_key, line_no::INT AS line_no, length(line)::INT AS n, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM l""")
+def line_offsets(spark, d):
+    """Every line of every text with its start."""
+    pages = A.table(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("doc_key"), F.lit(1).alias("page_no"), "text")
+    return facts.lines_of(pages).select("doc_key", "line_no", F.length("line").alias("n"), "start")
+
+
+@query(f"WITH {A.FACTS_SQL} SELECT doc_key, header, value FROM facts WHERE header LIKE '%金额%' ORDER BY doc_key, fact_id LIMIT 30")
+def lookup_field(spark, d):
+    """The feature's limit is 30."""
+    return router.execute({"action": "lookup_field", "params": {"field": "金额"}}, {"facts": A.facts(spark, d)})
+
+
+@query(f"""WITH {A.FACTS_SQL}, k AS (SELECT *, CASE WHEN header IN ({", ".join(f"'{w}'" for w in L.FIELD_WORDS)}) THEN 0 WHEN regexp_matches(value, '[0-9]') THEN 1 ELSE 2 END AS rank FROM facts)
+SELECT doc_key, place::INT AS place, rank, fact_id, header, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY rank, fact_id) AS place FROM k) WHERE place <= 3""")
+def key_facts(spark, d):
+    """The three foremost facts of each document."""
+    return cards.key_facts(A.facts(spark, d), 3)
+
+
+# --- Graph ---
+
+
+@query(f"WITH {A.SIGNALS_SQL} SELECT node, doc_key, kind, value FROM sig")
+def doc_signals(spark, d):
+    """G2, A12."""
+    return graph.signals(A.facts(spark, d))
+
+
+@query(f"WITH {A.SIGNALS_SQL} SELECT 'row:' || doc_key || '#t1r1' AS node, doc_key, kind, value FROM sig")
+def row_signals(spark, d):
+    """G2, by table row."""
+    return graph.signals(A.facts(spark, d), by_row=True)
+
+
+@query(f"WITH {A.PAIRS_SQL} SELECT src, dst, counterparty, amount, doc_no, array_to_string(shared, ';') AS shared FROM pairs")
+def candidate_pairs(spark, d):
+    """All document pairs that share a signal."""
+    return graph.candidate_pairs(graph.signals(A.facts(spark, d))).select("src", "dst", "counterparty", "amount", "doc_no", F.array_join("shared", ";").alias("shared"))
+
+
+@query(f"""WITH {A.SIGNALS_SQL}, k AS (SELECT 'row:' || a.doc_key || '#t1r1' AS src, b.node AS dst, count(DISTINCT a.kind) AS n_kinds FROM sig a JOIN sig b ON a.kind = b.kind AND a.value = b.value AND a.doc_key <> b.doc_key GROUP BY 1, 2)
+SELECT src, dst, n_kinds, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n_kinds DESC, dst) AS rank FROM k) WHERE rank <= 2""")
+def row_doc_top2(spark, d):
+    """The two closest documents of each row."""
+    f = A.facts(spark, d)
+    return graph.row_candidates(graph.signals(f, by_row=True), graph.signals(f))
+
+
+@query(f"WITH {A.EDGES_SQL} SELECT edge_id, src, dst, relation, confidence, status FROM edges")
+def edge_confidence(spark, d):
+    """G4, G6."""
+    return _edges(spark, d).select("edge_id", "src", "dst", "relation", "confidence", "status")
+
+
+@query(f"WITH {A.EDGES_SQL}, c AS (SELECT *, count(DISTINCT relation) OVER (PARTITION BY least(src,dst), greatest(src,dst)) > 1 AS conflict FROM edges) SELECT edge_id, relation, conflict, CASE WHEN conflict THEN 'hypothesis' ELSE status END AS status FROM c".replace("count(DISTINCT relation) OVER (PARTITION BY least(src,dst), greatest(src,dst)) > 1", "count(*) OVER (PARTITION BY least(src,dst), greatest(src,dst)) > 1"))
+def edge_conflicts(spark, d):
+    """G5, K5."""
+    return graph.flag_conflicts(_edges(spark, d)).select("edge_id", "relation", "conflict", "status")
+
+
+@query(f"WITH {A.EDGES_SQL} SELECT 'status' AS dimension, status AS name, count(*) AS n FROM edges GROUP BY 2 UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM edges")
+def edge_counts(spark, d):
+    """A4, A5."""
+    return router.execute({"action": "count_edges"}, {"edges": _edges(spark, d)})
+
 
-def docs_by_category(spark, sf_dir):
-    """Documents per category, missing category as 'other', largest first (A2)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return (
-        docs.groupBy(F.coalesce(F.nullif("lang", F.lit("")), F.lit("other")).alias("category"))
-        .agg(F.count("*").alias("n_docs"))
-        .orderBy(F.desc("n_docs"), "category")
-    )
+@query(f"WITH {A.BEST_SQL}, o AS (SELECT src_doc AS doc_key FROM best UNION ALL SELECT dst_doc FROM best WHERE dst_doc <> src_doc) SELECT doc_key, count(*) AS n_edges FROM o GROUP BY 1")
+def edge_ownership(spark, d):
+    """A7."""
+    return graph.edge_owners(graph.best_edges(_edges(spark, d)))
 
 
-QUERIES = {"docs_by_category": docs_by_category}
+@query(f"SELECT {A.CODE_SQL.format(p='CO', k='c_custkey')} AS code, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def orphan_entities(spark, d):
+    """Registered customers that no fact mentions."""
+    registered = A.table(spark, d, "customer").select(A.code("CO", "c_custkey").alias("code"), F.col("c_name").alias("name"))
+    return graph.orphan_entities(registered, A.facts(spark, d))
 
-ORACLES = {
-    "docs_by_category": "SELECT coalesce(nullif(lang,''),'other') AS category, count(*) AS n_docs FROM documents GROUP BY 1",
+
+@query(f"WITH {A.BEST_SQL} SELECT edge_id, 'doc:O7' AS at, CASE WHEN src = 'doc:O7' THEN dst ELSE src END AS other, src = 'doc:O7' AS forward, relation, confidence FROM best WHERE 'doc:O7' IN (src, dst)")
+def neighbours(spark, d):
+    """One hop round a document."""
+    at = spark.createDataFrame([("doc:O7",)], "node string")
+    return graph.neighbours(graph.best_edges(_edges(spark, d)), at).select("edge_id", "at", "other", "forward", "relation", "confidence")
+
+
+_QUESTION = "CO0007 的合同都关联了哪些发票"
+_ANCHORS = """anc AS (SELECT DISTINCT 'doc:' || doc_key AS node FROM (SELECT * FROM facts WHERE contains(value, 'CO0007') ORDER BY doc_key, fact_id LIMIT 6))"""
+
+
+@query(f"""WITH {A.BEST_SQL}, {_ANCHORS}, st AS (SELECT src AS nd, dst AS other, edge_id, confidence FROM best UNION ALL SELECT dst, src, edge_id, confidence FROM best),
+p1 AS (SELECT node AS anchor, other AS e, [node, other] AS nodes, [edge_id] AS eds, confidence AS c FROM anc JOIN st ON nd = node),
+p2 AS (SELECT anchor, other AS e, nodes || [other] AS nodes, eds || [edge_id] AS eds, c * confidence AS c FROM p1 JOIN st ON nd = e WHERE NOT list_contains(nodes, other)),
+p3 AS (SELECT anchor, other AS e, nodes || [other] AS nodes, eds || [edge_id] AS eds, c * confidence AS c FROM p2 JOIN st ON nd = e WHERE NOT list_contains(nodes, other)),
+p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3), r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY len(eds), nodes, eds) AS n FROM p)
+SELECT anchor, e AS end_node, array_to_string(nodes, '>') AS nodes, len(eds)::INT AS hops, round(c, 3) AS confidence FROM r WHERE n <= 400""")
+def paths_depth3(spark, d):
+    """Simple paths from a question's anchors, at most 400 of each as the traversal's bound."""
+    f = A.facts(spark, d)
+    docs = f.select("doc_key", F.lit("").alias("category")).distinct()
+    anchors = router.locate(f, docs, router.parse_query("CO0007")).select("node", "anchor_confidence").distinct()
+    found = graph.paths(graph.best_edges(_edges(spark, d)), anchors)
+    return found.select("anchor", "end_node", F.array_join("nodes", ">").alias("nodes"), "hops", "confidence")
+
+
+@query(f"""WITH {A.FACTS_SQL}, a AS (SELECT * FROM facts WHERE contains(value, 'CO0007') ORDER BY doc_key, fact_id LIMIT 6), b AS (SELECT * FROM facts WHERE contains(value, 'HT-31') ORDER BY doc_key, fact_id LIMIT 6)
+SELECT 'doc:' || doc_key AS node, 'code' AS anchor_kind, 'CO0007' AS anchor_value, doc_key, fact_id, 1.0::DOUBLE AS anchor_confidence FROM a
+UNION SELECT 'doc:' || doc_key, 'doc_no', 'HT-31', doc_key, fact_id, 1.0::DOUBLE FROM b""")
+def anchors(spark, d):
+    """Where a question's codes and numbers are found; six for each, as the feature says."""
+    f = A.facts(spark, d)
+    return router.locate(f, f.select("doc_key", F.lit("").alias("category")).distinct(), router.parse_query("CO0007 HT-31"))
+
+
+def _cards(spark, d):
+    docs = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_no"), F.concat(F.lit("O"), "o_orderkey").alias("doc_key"), F.lit("合同").alias("category"), F.concat_ws(" ", F.lit("采购合同"), "o_orderpriority", A.code("CO", "o_custkey")).alias("summary"))
+    return docs.withColumns({"features": F.concat(F.lit("date_start="), F.lit("")), "key_facts": F.array().cast("array<string>")})
+
+
+_CARDS = f"cd AS (SELECT o_orderkey AS doc_no, 'O' || o_orderkey AS doc_key, '采购合同 ' || o_orderpriority || ' ' || {A.CODE_SQL.format(p='CO', k='o_custkey')} AS summary FROM orders)"
+
+
+@query(f"""WITH {_CARDS}, s AS (SELECT *, doc_key || ' ' || summary || ' date_start= ' AS t FROM cd)
+SELECT doc_no, doc_key, score FROM (SELECT doc_no, doc_key, round((6 * contains(t, 'CO0007')::INT + 4 * contains(replace(t, ',', ''), '0007')::INT + 3 + {{grams}})::DOUBLE, 2) AS score FROM s) WHERE score > 0 ORDER BY score DESC, doc_no LIMIT 4""".replace("{grams}", " + ".join(f"{w} * contains(t, '{g}')::INT" for k, g, w in cards.question_signals("CO0007 的采购合同") if k == "gram")))
+def card_recall(spark, d):
+    """The four best cards for a question."""
+    return cards.recall(_cards(spark, d), "CO0007 的采购合同").select("doc_no", "doc_key", "score")
+
+
+@query(f"""WITH {_CARDS}, h AS (SELECT 'c' AS x, unnest(['合同','协议']) AS w)
+SELECT '合同' AS class, doc_no, doc_key, hits, place::INT AS place FROM (SELECT doc_no, doc_key, count(*) AS hits, row_number() OVER (ORDER BY count(*) DESC, doc_no) AS place FROM cd, h WHERE contains('合同 ' || doc_key || ' ' || summary, w) GROUP BY doc_no, doc_key) WHERE place <= 3""")
+def class_recall(spark, d):
+    """The three best documents of each evidence class."""
+    return router.execute({"action": "recall_docs", "params": {"classes": ["合同", "台账"]}}, {"cards": _cards(spark, d)})
+
+
+@query("""WITH t AS (SELECT DISTINCT o_custkey AS question_id, 'O' || o_orderkey AS doc_key FROM orders), g AS (SELECT DISTINCT o_custkey AS question_id, 'O' || o_orderkey AS doc_key FROM orders WHERE o_orderstatus <> 'F')
+SELECT question_id, count(*) AS wanted, count(g.doc_key) AS found, count(*) = count(g.doc_key) AS attained FROM t LEFT JOIN g USING (question_id, doc_key) GROUP BY 1""")
+def recall_eval(spark, d):
+    """Wanted documents against those found, for every question."""
+    o = A.table(spark, d, "orders")
+    pair = [F.col("o_custkey").alias("question_id"), F.concat(F.lit("O"), "o_orderkey").alias("doc_key")]
+    return cards.attainment(o.select(*pair), o.filter("o_orderstatus != 'F'").select(*pair))
+
+
+# --- Vectors ---
+
+_QUERIES_SQL = "q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0)"
+
+
+@query(f"""WITH {_QUERIES_SQL}, s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS similarity FROM embeddings, q)
+SELECT query_id, vec_id, similarity, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) AS place FROM s) WHERE place <= 5""")
+def vector_topk(spark, d):
+    """Exact nearest vectors of every query whose id is divisible by 100."""
+    e = A.table(spark, d, "embeddings")
+    return cards.vector_top_k_batch(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+
+
+@query("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def vector_topk_filtered(spark, d):
+    """Filter first, then the nearest."""
+    e = A.table(spark, d, "embeddings")
+    return cards.vector_top_k(e, e.filter("vec_id = 0").first()["embedding"], 5, label=1).select("vec_id", "similarity")
+
+
+# --- Masking and registration ---
+
+_CARD = r"(^|[^0-9A-Za-z])([0-9]{13,19})($|[^0-9A-Za-z])"
+
+
+@query(rf"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text,''), '{_CARD}', 2)) AS card FROM documents), k AS (SELECT DISTINCT card FROM f)
+SELECT doc_id, substr(card,1,6) || repeat('*', greatest(4, length(card) - 10)) || right(card, 4) AS masked, sha256(card) AS norm_key, count(*) AS n FROM f GROUP BY doc_id, card""")
+def mask_cards(spark, d):
+    """M5: long card numbers of every text, masked, by document."""
+    docs = A.table(spark, d, "documents")
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_CARD), F.lit(2))).alias("card"))
+    kind = F.lit("bank_card")
+    return found.groupBy("doc_id", "card").agg(F.count("*").alias("n")).select("doc_id", S.mask_value(F.col("card"), kind).alias("masked"), M.norm_key(F.col("card"), kind).alias("norm_key"), "n")
+
+
+@query(rf"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text,''), '{_CARD}', 2)) AS card FROM documents), k AS (SELECT sha256(card) AS norm_key, min(doc_id) AS seen FROM f GROUP BY 1)
+SELECT 'bank_card' AS category, norm_key, 'BC' || lpad((40 + row_number() OVER (ORDER BY seen, norm_key))::VARCHAR, 4, '0') AS code FROM k""")
+def code_issue(spark, d):
+    """Codes of all card numbers, in order of first appearance after the watermark."""
+    docs = A.table(spark, d, "documents")
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_CARD), F.lit(2))).alias("value"))
+    known = spark.createDataFrame([], "category string, norm_key string, code string")
+    marks = spark.createDataFrame([("bank_card", 40)], "category string, last_seq int")
+    return registry.issue_codes(found.select(F.lit("bank_card").alias("category"), "value", F.col("doc_id").alias("doc_no"), F.lit(0).alias("place")), known, marks)
+
+
+@query(f"SELECT {A.CODE_SQL.format(p='SU', k='l_suppkey')} AS code, count(DISTINCT l_orderkey) AS n_docs FROM lineitem WHERE l_suppkey % 4 = 0 GROUP BY l_suppkey")
+def orphan_codes(spark, d):
+    """Codes in texts that nobody registered."""
+    f = A.facts(spark, d).filter("header in ('甲方', '销方')").select("doc_key", F.col("value").alias("text"))
+    supplier = A.table(spark, d, "supplier").filter("s_suppkey % 4 != 0").select(A.code("SU", "s_suppkey").alias("code"))
+    customer = A.table(spark, d, "customer").select(A.code("CO", "c_custkey").alias("code"))
+    return registry.orphan_codes(f, supplier.unionByName(customer))
+
+
+@query(f"""SELECT sha256(regexp_replace(n, '[^0-9]', '', 'g')) AS fingerprint, count(DISTINCT c) AS n_categories, array_to_string(list_sort(list(DISTINCT k)), ',') AS codes FROM (
+SELECT 'company' AS c, s_name AS n, {A.CODE_SQL.format(p='SU', k='s_suppkey')} AS k FROM supplier UNION ALL SELECT 'party', c_name, {A.CODE_SQL.format(p='CO', k='c_custkey')} FROM customer) GROUP BY 1 HAVING count(DISTINCT c) > 1""")
+def cross_category_dups(spark, d):
+    """The same digits registered as a supplier and as a customer."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "").alias("value")
+    s = A.table(spark, d, "supplier").select(F.lit("company").alias("category"), A.code("SU", "s_suppkey").alias("code"), digits("s_name"))
+    c = A.table(spark, d, "customer").select(F.lit("party").alias("category"), A.code("CO", "c_custkey").alias("code"), digits("c_name"))
+    return registry.cross_category(s.unionByName(c)).select("fingerprint", "n_categories", F.array_join("codes", ",").alias("codes"))
+
+
+_HEADERS = ("单位", "单位全称", "申请单位：", "开户行", "银行账号", "纳税人识别号", "联系电话", "合同金额", "开票日期", "甲方（公章）：", "施工企业", "公司", "经办人", "")
+
+
+def _case(core: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({core}, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{c}'" for c, ws in L.HEADER_RULES) + f" WHEN length({core}) >= 3 AND regexp_matches({core}, '(单位|公司|企业|集团)$') THEN 'company' END"
+
+
+@query(f"""WITH h AS (SELECT unnest([{", ".join(f"'{x}'" for x in _HEADERS)}]) AS header), c AS (SELECT header, regexp_replace(regexp_replace(regexp_replace(header, '[：:=＝ ]+$', ''), '[（(][^）)]*[）)]', '', 'g'), '[：:=＝ ]+$', '') AS core FROM h)
+SELECT header, CASE WHEN core = '' OR core IN ({", ".join(f"'{x}'" for x in L.AMBIGUOUS_HEADERS)}) THEN NULL ELSE {_case("core")} END AS category FROM c""")
+def header_semantics(spark, d):
+    """P25."""
+    rows = spark.createDataFrame([(h,) for h in _HEADERS], "header string")
+    return rows.select("header", S.match_category(F.col("header")).alias("category"))
+
+
+_VALUES = (("id_card", "11010119900307123X"), ("id_card", "1101"), ("bank_account", "6222 0000 0000 0000 123"), ("tax_id", "91320200MA1XYZ0001"), ("date", "2026年9月1日"), ("date", "二〇二六"), ("bank_name", "宁波银行无锡分行"), ("bank_name", "无"), ("phone", "138-0013-8000"), ("company", "某某有限公司"), ("company", "2026-09-01"), ("party", "张三"), ("party", ""))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{v}', {ok})" for (c, v), ok in zip(_VALUES, (True, False, True, True, True, False, True, False, True, True, False, True, False), strict=True)) + ") t(category, value, valid)")
+def value_valid(spark, d):
+    """P26."""
+    rows = spark.createDataFrame(list(_VALUES), "category string, value string")
+    return rows.select("category", "value", S.value_valid(F.col("value"), F.col("category")).alias("valid"))
+
+
+# --- Layout, spans, windows ---
+
+_TABLES = {
+    "form": [["单位全称", "某某有限公司", "申请日期", "2026-09-01"], ["开户行", "宁波银行", "银行账号", "6222000000000000"], ["联系电话", "13800138000", "", ""]],
+    "list": [["品种", "规格", "数量"], ["香樟", "10cm", "5"], ["桂花", "8cm", "7"]],
 }
+
+
+@query()
+def kv_score(spark, d):
+    """key/value scores of small tables; unit tests hold the figures."""
+    cells = [(t, r, c, v) for t, rows in _TABLES.items() for r, row in enumerate(rows) for c, v in enumerate(row)]
+    return layout.kv_scores(spark.createDataFrame(cells, "table_id string, row int, col int, value string"))
+
+
+@query()
+def table_layout(spark, d):
+    """Layout, header and body of small tables."""
+    rows = spark.createDataFrame(list(_TABLES.items()), "table_id string, rows array<array<string>>")
+    return rows.select("table_id", layout.layout("rows").alias("l")).select("table_id", "l.layout", "l.header", F.size("l.body").alias("n_rows"))
+
+
+@query("""WITH o AS (SELECT user_id, event_id, epoch(ts)::BIGINT // 3600 AS h FROM events), b AS (SELECT *, CASE WHEN h - lag(h) OVER w > 24 OR lag(h) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM o WINDOW w AS (PARTITION BY user_id ORDER BY h))
+SELECT user_id AS sheet, block, count(*) AS n FROM (SELECT user_id, h, max(s) AS s, sum(max(s)) OVER (PARTITION BY user_id ORDER BY h) AS block FROM b GROUP BY user_id, h) GROUP BY 1, 2""")
+def blank_row_split(spark, d):
+    """Hours of each user's events as rows of a sheet, cut where more than 24 are blank."""
+    e = A.table(spark, d, "events")
+    hours = e.select(F.col("user_id").alias("sheet"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("row")).distinct()
+    return layout.split_blank_runs(hours.withColumn("cells", F.array(F.lit("x"))), 24).groupBy("sheet", "block").agg(F.count("*").alias("n"))
+
+
+_SEGMENTS = "(VALUES (0, 10, 20), (20, 35, 10), (40, 60, 5)) g(final, raw, length)"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT p_size AS st, p_size + p_partkey % 7 AS en FROM part)
+SELECT 'a' AS doc_key, st::INT AS start, en::INT AS "end", min(CASE WHEN st >= final AND en <= final + length THEN st + raw - final END)::INT AS exact_start,
+coalesce(sum(greatest(0, least(en, final + length) - greatest(st, final))), 0)::BIGINT AS covered FROM s, {_SEGMENTS} GROUP BY st, en""")
+def span_map(spark, d):
+    """Spans of the final text in the raw text."""
+    spans = A.table(spark, d, "part").select(F.lit("a").alias("doc_key"), F.col("p_size").cast("int").alias("start"), (F.col("p_size") + F.col("p_partkey") % 7).cast("int").alias("end")).distinct()
+    segments = spark.createDataFrame([("a", 0, 10, 20), ("a", 20, 35, 10), ("a", 40, 60, 5)], "doc_key string, final int, raw int, length int")
+    out = layout.map_spans(spans, segments)
+    return out.select("doc_key", "start", "end", F.when(F.col("exact"), F.col("raw_start")).alias("exact_start"), "covered")
+
+
+@query(r"""WITH n AS (SELECT p_partkey AS entity, regexp_replace(p_name, '\s+', '', 'g') AS name FROM part), g AS (SELECT DISTINCT entity, substr(name, i, k) AS gram FROM n, (SELECT unnest(range(1, 200)) AS i), (SELECT unnest(range(2, 7)) AS k) WHERE i + k - 1 <= length(name))
+SELECT gram, entity FROM g WHERE gram IN (SELECT gram FROM g GROUP BY 1 HAVING count(*) <= 8)""")
+def alias_index(spark, d):
+    """N-grams of names that few names share."""
+    return M.alias_windows(A.table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name")))
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
+SELECT conv_id, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn) AS history, count(*) AS n_messages FROM k WHERE n <= 4 GROUP BY 1""")
+def history_window(spark, d):
+    """The last two exchanges of each conversation."""
+    return ledger.history(A.table(spark, d, "conversations"), turns=2)
+
+
+@query("""WITH l AS (SELECT user_id, count(*) AS n, sum(value) AS total FROM events GROUP BY 1) SELECT user_id, n, round(total, 4) AS total FROM l""")
+def user_totals(spark, d):
+    """A6 over events: rows and sums of each key."""
+    return A.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT user_id, event_id, md5(event_type) AS fingerprint FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def incremental_build(spark, d):
+    """The events table as a stream; state keeps the newest row of each key."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-")
+    folder = f"{root}/incremental-{spark.sparkContext.applicationId}-{abs(hash(d))}-{spark.sql('select uuid()').first()[0]}"
+    schema = A.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    rows = stream.select("user_id", "event_id", F.md5("event_type").alias("fingerprint"))
+    incremental.incremental_build(rows, folder, "user_id", "event_id", lambda b: b).awaitTermination()
+    return incremental.State(spark, f"{folder}/state").read()
+
+
+@query()
+def segments(spark, d):
+    """segments of every text; tests hold their invariants."""
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("doc_no"), F.array(F.coalesce("text", F.lit(""))).alias("pages"))
+    return facts.document_segments(docs)
+
+
+@query()
+def chunks(spark, d):
+    """Overlapping chunks of every text."""
+    docs = A.table(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(facts.chunks("text")).alias("chunk_no", "chunk_text"))
+
+
+@query()
+def mask_text(spark, d):
+    """M1, M9: spans found in every text, coded and written back."""
+    docs = A.table(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("doc_key"), F.col("doc_id").alias("doc_no"), F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_key", "doc_no", M.discover("text").alias("spans")).filter(F.size("spans") > 0)
+    each = found.select("doc_no", F.explode("spans").alias("s")).select("s.category", "s.value", "doc_no", F.col("s.start").alias("place"))
+    none = spark.createDataFrame([], "category string, norm_key string, code string")
+    codes = registry.issue_codes(each, none, spark.createDataFrame([], "category string, last_seq int"))
+    return M.apply_codes(docs, found, codes).select("doc_key", "masked")
+
+
+@query()
+def fuzzy_project(spark, d):
+    """Part names checked against those of every tenth part as registered projects."""
+    p = A.table(spark, d, "part")
+    registered = p.filter("p_partkey % 10 = 0").select(F.concat(F.lit("PJ"), "p_partkey").alias("code"), F.col("p_name").alias("name")).dropDuplicates(["name"])
+    return registry.check_projects(p.select(F.col("p_name").alias("name")), registered)
+
+
+@query()
+def offset_map(spark, d):
+    """Equal blocks of every turn and its text with numbers masked."""
+    t = A.table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 400).alias("raw"))
+    return t.select("conv_id", "turn", layout.offset_map("raw", F.regexp_replace("raw", "[0-9]", "*")).alias("blocks"))
