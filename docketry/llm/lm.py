@@ -129,10 +129,13 @@ def count_corpus(docs: DataFrame) -> DataFrame:
     """(kind, key, n): word hashes (kind 0) and byte strings (kind 1) of all docs, counted."""
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
+    def merged(parts):
+        return [summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))] if parts else []
+
     def rows(kind, parts):
         if not parts:
             return
-        key, n = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        key, n = merged(parts)[0]
         for at in range(0, len(key), 1 << 18):
             k = key[at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[at : at + (1 << 18)])], schema=schema)
@@ -147,6 +150,8 @@ def count_corpus(docs: DataFrame) -> DataFrame:
                 found.append(np.unique(words(part, at)[0], return_counts=True))
                 grams.append(np.unique(own_keys(*padded(part, at)), return_counts=True))
                 held += len(part)
+                if len(grams) >= 12:
+                    found, grams = merged(found), merged(grams)
                 if held >= FLUSH:
                     yield from rows(0, found)
                     yield from rows(1, grams)

@@ -12,7 +12,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes handled at a time (a longer text is handled whole).
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
