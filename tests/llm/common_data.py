@@ -23,8 +23,8 @@ def texts(seed=4, n=60):
         rows.append([i, body, lang, f"s{i % 4}", len(body), None, None, "k"])
     rows[3][1] = rows[8][1] = rows[2][1]  # exact copies
     rows[9][1] = rows[2][1] + " tail"
-    rows += [[100, None, None, None, None, None, None, None], [101, "", "en", "s0", 0, 0.5, "n", None], [102, " \n\t", "de", None, 3, None, None, None], [103, "x", "en", "s1", 1, None, None, None]]
-    rows += [[104, "the river of stone " * 4000, "en", "s1", 1, 1.0, None, None], [105, "1234 $$$ \x00 \U0001f600", None, "s2", 1, None, None, None], [105, "1234 $$$ \x00 \U0001f600", None, "s2", 1, None, None, None]]
+    rows += [[10100, None, None, None, None, None, None, None], [10101, "", "en", "s0", 0, 0.5, "n", None], [10102, " \n\t", "de", None, 3, None, None, None], [10103, "x", "en", "s1", 1, None, None, None]]
+    rows += [[10104, "the river of stone " * 4000, "en", "s1", 1, 1.0, None, None], [10105, "1234 $$$ \x00 \U0001f600", None, "s2", 1, None, None, None], [10105, "1234 $$$ \x00 \U0001f600", None, "s2", 1, None, None, None]]
     return [tuple(r) for r in rows]
 
 
