@@ -97,16 +97,25 @@ def vector_top_k(chunks: DataFrame, query: list[float], k: int = 5, **meta) -> D
     return chunks.withColumn("similarity", F.round(cosine(F.col("embedding"), q), 6)).orderBy(F.desc_nulls_last("similarity"), "vec_id").limit(k)
 
 
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 4096
+
+
 def vector_top_k_batch(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest chunks of each query (query_id, vector) in one pass: queries are broadcast, a bounded batch.
+    """The k nearest chunks of each query (query_id, vector), exactly.
 
-    Candidates keep to k for each query before the shuffle, by rank within a hash part, then over all.
+    Queries go against all chunks in blocks of about QUERY_BLOCK, so what is broadcast is bounded. Candidates keep to k for
+    each query and hash part before they meet.
     """
-    q = queries.select("query_id", F.col("vector"))
-    scored = chunks.join(F.broadcast(q)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     order = (F.desc_nulls_last("similarity"), F.asc("vec_id"))
-    near = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("n") <= k)
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("place") <= k).drop("n", "part")
+    out = None
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector")
+        scored = chunks.join(F.broadcast(part)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
+        near = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("n") <= k)
+        out = near if out is None else out.unionByName(near)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("place") <= k).drop("n", "part")
 
 
 def dedupe_documents(hits: DataFrame) -> DataFrame:
