@@ -36,8 +36,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes, with size, source_size, target, taken and shards."""
-    plan = mixing.plan_mix(docs).filter("taken > 0").drop("source").dropDuplicates(["doc_id"])
-    return docs.join(plan, "doc_id")
+    plan = mixing.plan_mix(docs).filter("taken > 0").drop("source").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "__id")
+    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"])).drop("__id")
 
 
 STAGES = [
