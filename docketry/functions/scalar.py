@@ -384,3 +384,31 @@ def codes_in(text: Column) -> Column:
     """Distinct codes in a text, bare, in order of code."""
     found = F.regexp_extract_all(text, F.lit(f"({L.CODE})"), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"[\[\]]|本公司·", ""))))
+
+
+def jsonable(df):
+    """df with decimals as doubles and times as ISO seconds, as JSON wants them."""
+    as_text = lambda c, kind: F.col(c).cast("double") if kind.startswith("decimal") else F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if kind.startswith("timestamp") else F.date_format(c, "yyyy-MM-dd") if kind == "date" else F.col(c)
+    return df.select(*[as_text(c, kind).alias(c) for c, kind in df.dtypes])
+
+
+def contract_fields(name: Column, text: Column) -> Column:
+    """Contract number from the file name, and party A's code or name from masked text."""
+    stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    party = F.trim(F.regexp_extract(text, r"甲方(?:（[^）]+）|\([^\)]+\))?[:：]\s*([^\n，,。；;]{2,60})", 1))
+    return F.struct(F.coalesce(contract_code(stem), F.concat(F.lit("无编号-"), stem)).alias("contract_code"), F.nullif(party, F.lit("")).alias("party_a"))
+
+
+def ledger_row(ai_json: Column, known: str = "contract_code string, contract_term string, party_a string, amount string, sign_date string") -> Column:
+    """A model's reply about a ledger item: known fields normalised, the key checked, all others kept as extra."""
+    raw = F.regexp_extract(clean_reply(ai_json), r"(?s)\{.*\}", 0)
+    named, all_ = F.from_json(raw, known), F.from_json(raw, "map<string,string>")
+    names = [f.strip().split(" ")[0] for f in known.split(",")]
+    return F.struct(
+        F.upper(F.nullif(F.trim(named["contract_code"]), F.lit(""))).alias("contract_code"),
+        named["contract_term"].alias("contract_term"),
+        F.nullif(F.trim(named["party_a"]), F.lit("")).alias("party_a"),
+        number(named["amount"]).alias("amount"),
+        date_parts(named["sign_date"])["day"].alias("sign_date"),
+        F.map_filter(F.coalesce(all_, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*names)).alias("extra"),
+    )

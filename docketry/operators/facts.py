@@ -265,3 +265,22 @@ def feature_hashes(features: DataFrame) -> DataFrame:
 def reusable_summaries(old: DataFrame, current: DataFrame) -> DataFrame:
     """Documents whose hash and number of segments haven't changed (F10): doc_key."""
     return old.alias("o").join(current.alias("c"), ["doc_key", "hub_hash", "n_segments"]).select("doc_key")
+
+
+def feature_bundle(hashes: DataFrame) -> DataFrame:
+    """One hash over each document's feature hashes in order of code and number."""
+    pair = F.concat(F.lit('"'), "code", F.lit(":"), F.col("seq").cast("string"), F.lit('":"'), "hash", F.lit('"'))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("code", "seq", pair.alias("p")))), lambda x: x["p"])
+    return hashes.groupBy("doc_key").agg(F.sha2(F.concat(F.lit("{"), F.array_join(ordered, ","), F.lit("}")), 256).alias("bundle"))
+
+
+def project_document(hub: DataFrame) -> dict[str, DataFrame]:
+    """The projections of hub documents (doc_key, pages, tables): fingerprints, segments and facts of every kind."""
+    tables = hub.select("doc_key", F.posexplode("tables").alias("i", "t")).select(
+        "doc_key", F.coalesce("t.page", F.lit(1)).alias("page_no"), (F.col("i") + 1).alias("table_index"), F.col("t.layout").alias("layout"),
+        *[F.coalesce(F.col(f"t.{c}"), F.array().cast(k)).alias(c) for c, k in (("header", "array<string>"), ("rows", "array<array<string>>"), ("title_rows", "array<array<string>>"), ("signature_rows", "array<array<string>>"))],
+    )
+    pages = hub.select("doc_key", F.posexplode("pages").alias("p", "text")).select("doc_key", (F.col("p") + 1).alias("page_no"), "text")
+    kv = F.col("layout").eqNullSafe(F.lit("kv"))
+    all_ = cell_facts(tables.filter(~kv)).unionByName(kv_table_facts(tables.filter(kv))).unionByName(title_facts(tables)).unionByName(line_facts(pages))
+    return {"fingerprints": hub_fingerprint(hub), "segments": document_segments(hub.select(F.col("doc_key").alias("doc_no"), "pages")), "facts": all_}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -230,5 +230,11 @@ def rename_plan(files: DataFrame) -> DataFrame:
     return files.withColumn("n", n).withColumn("new", F.when(F.col("n") == 1, F.col("new")).otherwise(F.concat(stem, F.lit("("), F.col("n").cast("string"), F.lit(")"), ext))).drop("n")
 
 
-def count_if_ok(flag: Column) -> Column:
-    return F.count_if(F.coalesce(flag, F.lit(False)))
+def thinking_stats(messages: DataFrame) -> DataFrame:
+    """Entries, characters and tokens of each conversation's thinking (A18); messages: conv_id, text, tokens."""
+    return messages.groupBy("conv_id").agg(F.count("*").alias("entries"), F.sum(F.length("text")).alias("chars"), F.sum("tokens").alias("tokens"))
+
+
+def shared_documents(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Document keys in both of two workspaces; none if they are isolated."""
+    return a.select("doc_key").intersect(b.select("doc_key"))

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions import scalar as S
 from ..operators import cards, graph
 
 DIRECT = ("count_docs", "list_docs", "count_facts", "count_edges", "overview")
@@ -195,9 +194,24 @@ def unresolved(plan: dict, anchors: DataFrame) -> DataFrame:
     return asked.join(anchors.select("anchor_kind", "anchor_value"), ["anchor_kind", "anchor_value"], "left_anti")
 
 
+METHODS = ("graph", "rag")
+#: Ways into the edge build, for listings.
+ENTRY_POINTS = {"candidate_pairs": "all documents", "candidates_for": "new documents against stored ones", "row_candidates": "table rows against documents", "ingest_replies": "verdicts from outside"}
+
+
+def retrieval_method(configured: str | None) -> str:
+    """The configured method, graph unless it names another that there is."""
+    return configured if configured in METHODS else METHODS[0]
+
+
+def render_overview(rows: DataFrame) -> str:
+    """The overview (table, n_rows; a handful of rows) as lines of text."""
+    return "\n".join(f"{r['table']}: {r['n_rows']}" for r in rows.orderBy("table").collect())
+
+
 def allowed_path(path, root: str):
     """Is a path inside the hub's root, without steps upwards (P44)?"""
     return path.startswith(root.rstrip("/") + "/") & ~path.rlike(r"(^|/)\.\.(/|$)")
 
 
-__all__ = ["ask", "execute", "locate", "parse_query", "route", "S"]
+__all__ = ["ask", "execute", "locate", "parse_query", "route"]

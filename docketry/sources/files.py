@@ -104,6 +104,29 @@ def table_metadata(tables: DataFrame, most: int = 20) -> DataFrame:
     return tables.select("doc_key", "sheet", "header", F.slice(values, 1, most).alias("projects"))
 
 
+def read_legend(spark: SparkSession, path: str) -> DataFrame:
+    """The entity legend of a sample corpus as rows: category, code, real_value, masked."""
+    entry = "struct<real:string,masked:string>"
+    at = spark.read.option("multiLine", "true").schema(f"`类别` map<string,map<string,{entry}>>").json(path)
+    codes = at.select(F.explode("类别").alias("category", "codes")).select("category", F.explode("codes").alias("code", "e"))
+    return codes.select("category", "code", F.col("e.real").alias("real_value"), F.col("e.masked").alias("masked"))
+
+
+def read_weak_edges(spark: SparkSession, path: str, validated: float = 0.8) -> DataFrame:
+    """Edges of a sample corpus (S20): validated from a weight on, else hypotheses."""
+    at = spark.read.option("multiLine", "true").schema("edges array<struct<src:string,dst:string,relation:string,weight:double,basis:string>>").json(path)
+    e = at.select(F.explode("edges").alias("e")).select("e.*")
+    return e.select(F.substring(F.sha1(F.concat_ws("|", "src", "dst", "relation")), 1, 32).alias("edge_id"), "src", "dst", "relation", F.col("weight").alias("confidence"), F.when(F.col("weight") >= validated, "validated").otherwise("hypothesis").alias("status"), "basis")
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """Expected facts of a sample corpus's questions (S20): question_id, doc_key, header, value."""
+    fact = "array<struct<doc_key:string,header:string,value:string>>"
+    at = spark.read.option("multiLine", "true").schema(f"questions array<struct<id:string,question:string,evidence_docs:array<string>,evidence_facts:{fact}>>").json(path)
+    q = at.select(F.explode("questions").alias("q"))
+    return q.select(F.col("q.id").alias("question_id"), F.explode("q.evidence_facts").alias("f")).select("question_id", "f.*")
+
+
 # --- Office and HTML ---
 
 SHEET_ROW = StructType([StructField("sheet", StringType()), StructField("row", IntegerType()), StructField("cells", ArrayType(StringType())), StructField("merged", BooleanType())])

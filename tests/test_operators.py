@@ -191,3 +191,22 @@ def test_incremental(spark, tmp_path):
     run()
     got = {r["k"]: r["fingerprint"] for r in incremental.State(spark, str(tmp_path / "out/state")).read().collect()}
     assert got == {1: "b", 2: "a", 3: "a"} and built == [2, 1]
+
+
+def test_projection(spark):
+    hub = spark.createDataFrame([("a", ["标题\n合同编号：HT-1"], [("kv", 1, [], [["开户行", "宁波银行"]], [["付款申请"]], []), ("table", 1, ["品种", "数量"], [["香樟", "5"]], [], [])])],
+                                "doc_key string, pages array<string>, tables array<struct<layout:string,page:int,header:array<string>,rows:array<array<string>>,title_rows:array<array<string>>,signature_rows:array<array<string>>>>")
+    out = facts.project_document(hub)
+    got = {(r["fact_kind"], r["header"], r["value"]) for r in out["facts"].filter("coalesce(row_index, 1) > 0").collect()}
+    assert got == {("cell", "开户行", "宁波银行"), ("title", None, "付款申请"), ("cell", "品种", "香樟"), ("cell", "数量", "5"), ("kv", "合同编号", "HT-1")}
+    assert out["fingerprints"].first()["n_cells"] == 4 and out["segments"].count() == 1
+
+
+def test_sample_corpus(spark, tmp_path):
+    (tmp_path / "legend.json").write_text(json.dumps({"类别": {"company": {"CO0001": {"real": "某某公司"}}}}, ensure_ascii=False))
+    (tmp_path / "edges.json").write_text(json.dumps({"edges": [{"src": "a", "dst": "b", "relation": "r", "weight": 0.8}, {"src": "a", "dst": "c", "relation": "r", "weight": 0.5}]}))
+    (tmp_path / "truth.json").write_text(json.dumps({"questions": [{"id": "q", "evidence_facts": [{"doc_key": "a", "header": "h", "value": "1 2"}]}]}))
+    assert files.read_legend(spark, str(tmp_path / "legend.json")).first()["code"] == "CO0001"
+    assert [r["status"] for r in files.read_weak_edges(spark, str(tmp_path / "edges.json")).orderBy("dst").collect()] == ["validated", "hypothesis"]
+    truth = files.read_truth(spark, str(tmp_path / "truth.json"))
+    assert cards.truth_check(truth, spark.createDataFrame([("a", "h", "12")], "doc_key string, header string, value string")).first()["there"]
