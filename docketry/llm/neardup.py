@@ -5,15 +5,15 @@ POSITIONS minimum hashes of BITS bits each; the distance of two signatures is th
 signature is split into CHUNKS chunks. By the pigeonhole principle two signatures within a distance of
 CHUNKS * (ERRORS + 1) - 1 = 17 have a chunk with at most ERRORS differing positions, so each chunk is entered into the
 index once for every choice of positions that may differ, with these left out: equal keys then find *all* pairs under that
-distance. At a similarity of 0.85 a pair is farther apart than 17 of 45 positions with a probability below 4e-5, and at
-0.9 below 1e-7.
+distance. At a similarity of 0.85 a pair is farther apart than 17 of 45 positions with a probability of about 4e-5, and at
+0.9 of about 1e-7.
 
 All pairs of a bucket are never made. First every class is paired with the least and the greatest class of each of its
 buckets; confirmed links are merged into components. Buckets that still hold several components are cut into blocks of
 BLOCK classes, and each pair of blocks is compared in one step, in the first bucket that two classes share: classes of
-different components whose set sizes, signatures and sketches (the SKETCH least shingle hashes, which are the whole set of a
-shorter document) allow a link. Only links that merge something are handed on, and pairs that the sketches leave open are
-confirmed on full sets. What is joined in one component needs no further pair, so components are exact for all pairs
+different components whose set sizes, signatures and odd sketches (the parities of SKETCH hashed places, whose difference is
+that of the sets but for collisions) allow a link. Pairs that would merge something are handed on and confirmed on full
+sets. What is joined in one component needs no further pair, so components are exact for all pairs
 within the distance.
 
 Nulls and odd rows: a null or wordless text has an empty set, is linked with nothing and is kept; rows that share a doc_id
@@ -37,10 +37,10 @@ WORDS = 5
 BITS, CHUNKS, PER_CHUNK, ERRORS = 12, 9, 5, 1
 POSITIONS = CHUNKS * PER_CHUNK
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Classes of a bucket that are compared with as many others at a time, and shingle hashes in a sketch.
-BLOCK, SKETCH = 256, 256
-#: Sketches of cut sets leave a pair open down to so many standard deviations below the threshold.
-DEVIATIONS = 5
+#: Classes of a bucket that are compared with as many others at a time, and bits of a sketch.
+BLOCK, SKETCH = 512, 2048
+#: A sketch rules a pair out, or makes it certain, only from so many standard deviations on.
+DEVIATIONS = 6
 #: Ids of documents to shingle again are broadcast up to this number; beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Sets are linked when 100 * intersection >= PERCENT * union.
@@ -50,10 +50,11 @@ _FACTORS = np.random.default_rng(9).integers(1, 1 << 63, POSITIONS, dtype=np.uin
 _CHUNK_COLS = [f"s{c}" for c in range(CHUNKS)]
 
 
-def signatures(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set size [text], two 64-bit sums that tell sets apart [text, 2], and chunks of the signature [text, CHUNKS]."""
+def signatures(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Set size [text], two 64-bit sums that tell sets apart [text, 2], chunks of the signature [text, CHUNKS] and odd sketches [text, SKETCH / 8]."""
     n = len(off) - 1
     size, key, chunks = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, CHUNKS), np.int64)
+    odd = np.zeros((n, SKETCH // 8), np.uint8)
     for i, j in pieces(off):
         hashes, _, _, first = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
         all_, at = shingles(hashes, first, k)
@@ -66,26 +67,29 @@ def signatures(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.nd
         for d in some:
             s = np.unique(all_[at[d] : at[d + 1]])
             size[i + d] = len(s)
-            key[i + d] = s.sum(), mix(s).sum()
-    return size, key.view(np.int64), chunks
+            mixed = mix(s)
+            key[i + d] = s.sum(), mixed.sum()
+            odd[i + d] = np.packbits(np.bincount((mixed >> np.uint64(40) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1)
+    return size, key.view(np.int64), chunks, odd
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), k1, k2 (equal for equal sets) and the chunks of every row."""
+    """doc_id, n (set size), k1, k2 (equal for equal sets), the chunks and the odd sketch of every row."""
     names = ["doc_id", "n", "k1", "k2", *_CHUNK_COLS]
-    schema = pa.schema([(c, pa.int64()) for c in names])
+    schema = pa.schema([*[(c, pa.int64()) for c in names], ("odd", pa.binary())])
 
     def run(batches):
         for b in batches:
-            n, key, chunks = signatures(*as_bytes(b.column("text")))
+            n, key, chunks, odd = signatures(*as_bytes(b.column("text")))
             cols = [n, key[:, 0], key[:, 1], *chunks.T]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.ascontiguousarray(c)) for c in cols]], schema=schema)
+            sketch = pa.array([x.tobytes() for x in odd], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.ascontiguousarray(c)) for c in cols], sketch], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", odd binary")
 
 
-def sets(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """doc_id, k1, k2 and the sorted distinct shingle hashes (all, or the ``most`` least) of every row."""
+def sets(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 and the sorted distinct shingle hashes of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -96,7 +100,6 @@ def sets(docs: DataFrame, most: int | None = None) -> DataFrame:
                 all_, at = shingles(hashes, first, WORDS)
                 own = [np.unique(all_[at[d] : at[d + 1]]) for d in range(j - i)]
                 key = np.array([(s.sum(), mix(s).sum()) for s in own], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-                own = [s[:most] for s in own]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
                 flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
@@ -120,13 +123,19 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.hint("broadcast" if ids.count() <= BROADCAST_IDS else "shuffle_hash"), "doc_id", "left_semi")
 
 
-def compare(cid, root, n, chunks, sketches, side, key_no: int) -> list[tuple[int, int, bool]]:
-    """Links (a, b, sure) that merge components among classes of two blocks (side 0 and 1; or one block, all on side 2).
+def odd_range(difference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation (not less than the true one) of the odd places that differ, for set differences."""
+    far = np.exp(-2.0 * difference / SKETCH)
+    return SKETCH / 2 * (1 - far), np.sqrt(np.minimum(SKETCH / 4 * (1 - far), difference**2 / SKETCH + difference * 0.05) + 1)
 
-    A pair counts only in the bucket of the first key that its classes share. A pair is sure when both sketches are
-    whole sets; unsure pairs may be links.
+
+def compare(cid, root, n, chunks, odd, side, key_no: int) -> list[tuple[int, int]]:
+    """Pairs (a, b) of different components that may be links, among classes of two blocks (side 0 and 1; or one block, all on side 2).
+
+    A pair counts only in the bucket of the first key that its classes share, and not when pairs that are certain links by
+    their sketches already join its ends.
     """
-    lanes = (chunks[:, :, None] >> (BITS * np.arange(PER_CHUNK))) & ((1 << BITS) - 1)
+    lanes = ((chunks[:, :, None] >> (BITS * np.arange(PER_CHUNK))) & ((1 << BITS) - 1)).astype(np.int16)
     parent = {int(r): int(r) for r in root}
 
     def find(x):
@@ -134,67 +143,53 @@ def compare(cid, root, n, chunks, sketches, side, key_no: int) -> list[tuple[int
             parent[x] = x = parent[parent[x]]
         return x
 
-    out = []
+    out, order = [], np.arange(len(cid))
     for i in range(len(cid)):
-        js = np.flatnonzero((root != root[i]) & ((side == 1) if side[i] == 0 else (side == 2) & (np.arange(len(cid)) > i)))
+        js = np.flatnonzero((root != root[i]) & ((side == 1) if side[i] == 0 else (side == 2) & (order > i)))
+        js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
         if not len(js):
             continue
-        js = js[100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i])]
         differ = lanes[js] != lanes[i]
         per = differ.sum(2)
         ok = per <= ERRORS
         chunk = ok.argmax(1)
-        lane = np.where(per[np.arange(len(js)), chunk] == 0, 0, differ[np.arange(len(js)), chunk].argmax(1))
+        rows = np.arange(len(js))
+        lane = np.where(per[rows, chunk] == 0, 0, differ[rows, chunk].argmax(1))
         js = js[(per.sum(1) <= MAX_DISTANCE) & (chunk * PER_CHUNK + lane == key_no)]
         if not len(js):
             continue
-        mine = sketches[i]
-        parts = [sketches[j] for j in js]
-        ends = np.cumsum([len(p) for p in parts])
-        flat = np.concatenate(parts)
-        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-        both = np.concatenate([[0], np.cumsum(mine[at] == flat)])
-        shared = both[ends] - both[np.concatenate([[0], ends[:-1]])]
-        for j, same in zip(js.tolist(), shared.tolist(), strict=True):
+        most = (n[js] + n[i]) * (100 - PERCENT) / (100 + PERCENT)  # the set difference of a pair that is just linked
+        apart = np.bitwise_count(odd[js] ^ odd[i]).sum(1, dtype=np.int64)
+        mean, spread = odd_range(most)
+        possible = (apart <= most) & (apart <= mean + DEVIATIONS * spread)
+        certain = apart + DEVIATIONS * spread <= mean
+        for j, sure in zip(js[possible].tolist(), certain[possible].tolist(), strict=True):
             a, b = find(int(root[i])), find(int(root[j]))
-            if a == b:
-                continue
-            sure = n[i] <= SKETCH and n[j] <= SKETCH
-            if sure:
-                hit = 100 * same >= PERCENT * (n[i] + n[j] - same)
-            else:  # the least hashes of the union, and how many of them are in both
-                union = np.union1d(mine, sketches[j])[:SKETCH]
-                low = np.intersect1d(mine, sketches[j])
-                share = np.count_nonzero(low <= union[-1]) / len(union)
-                hit = share >= PERCENT / 100 - DEVIATIONS * np.sqrt(0.01 * PERCENT * (1 - 0.01 * PERCENT) / len(union))
-            if hit:
-                out.append((int(min(cid[i], cid[j])), int(max(cid[i], cid[j])), bool(sure)))
+            if a != b:
+                out.append((int(min(cid[i], cid[j])), int(max(cid[i], cid[j]))))
                 if sure:
                     parent[max(a, b)] = min(a, b)
     return out
 
 
 def _cross(sides: DataFrame) -> DataFrame:
-    """(a, b, sure) from buckets with several components; sides: key, key_no, fan, cid, root, n, chunks and sketch."""
+    """(a, b) from buckets with several components; sides: key, key_no, fan, cid, root, n, chunks and odd."""
     blocks = F.ceil(F.col("fan") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "cid"), blocks).cast("int")
     at = sides.withColumn("__b", own).withColumn("__o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     at = at.withColumns({"__lo": F.least("__b", "__o"), "__hi": F.greatest("__b", "__o")})
-    at = at.withColumn("side", F.when(F.col("__lo") == F.col("__hi"), 2).when(F.col("__b") == F.col("__lo"), 0).otherwise(1))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+    at = at.withColumn("side", F.when(F.col("__lo") == F.col("__hi"), 2).when(F.col("__b") == F.col("__lo"), 0).otherwise(1)).drop("__b", "__o", "fan")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(t):
         got = []
         if t.num_rows > 1:
             col = lambda c: t.column(c).to_numpy()
-            lists = t.column("sketch").combine_chunks()
-            flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            sketches = [flat[ends[i] : ends[i + 1]] for i in range(t.num_rows)]
-            chunks = np.stack([col(c) for c in _CHUNK_COLS], 1)
-            got = compare(col("cid"), col("root"), col("n"), chunks, sketches, col("side"), int(col("key_no")[0]))
+            odd = np.frombuffer(b"".join(t.column("odd").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            got = compare(col("cid"), col("root"), col("n"), np.stack([col(c) for c in _CHUNK_COLS], 1), odd, col("side"), int(col("key_no")[0]))
         return pa.Table.from_pydict({k: [x[i] for x in got] for i, k in enumerate(schema.names)}, schema=schema)
 
-    return at.groupBy("key", "__lo", "__hi").applyInArrow(run, "a long, b long, sure boolean").distinct()
+    return at.groupBy("key", "__lo", "__hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -213,8 +208,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", (100 * shared >= PERCENT * (F.size("set_a") + F.size("set_b") - shared)).alias("linked")).filter("linked").select("a", "b")
 
 
-def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, label) of every class that is linked with another; classes has cid, n and the chunks."""
+def link_classes(classes: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, label) of every class that is linked with another; classes has cid, n, k1, k2 and the chunks, signed the odd sketches."""
     keys = classes.select("cid", F.posexplode(_keys()).alias("key_no", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("fan"), F.min("cid").alias("low"), F.max("cid").alias("high")).filter("fan > 1")
     member = cut(fan_join(keys, buckets, ["key"], "fan", F.col("cid")))
@@ -228,22 +223,18 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     # Buckets with several components, each bucket's classes with their signatures and sketches.
     open_ = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("fan")).filter("r1 != r2").select("key", "fan")
     left = cut(fan_join(named, open_.withColumn("size", F.col("fan")), ["key"], "fan", F.col("cid")).withColumnRenamed("size", "fan"))
-    ids = cut(left.select(F.col("cid").alias("doc_id")).distinct())
-    short = sets(_only(docs, ids), SKETCH).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), F.col("shingles").alias("sketch"))
-    known = classes.select("cid", "n", *_CHUNK_COLS).join(short, "cid")
-    cross = cut(_cross(left.join(known, "cid")))
-    open_pairs = cross.filter("not sure").select("a", "b")
-    more = cross.filter("sure").select("a", "b")
-    if not open_pairs.isEmpty():
-        more = more.unionByName(_confirmed(open_pairs, docs))
-    return components(links.unionByName(more))
+    sketch = signed.select(F.col("doc_id").alias("cid"), "k1", "k2", "odd")
+    known = classes.join(left.select("cid").distinct(), "cid", "left_semi").join(sketch, ["cid", "k1", "k2"]).dropDuplicates(["cid"])
+    cross = cut(_cross(left.join(known.drop("k1", "k2"), "cid")))
+    cross = cut(cross.join(star, ["a", "b"], "left_anti"))
+    return label if cross.isEmpty() else components(links.unionByName(_confirmed(cross, docs)))
 
 
 def group(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept, of every row."""
     signed = cut(sign(docs))
     classes = cut(signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("cid"), F.count("*").alias("fan"), *[F.min(c).alias(c) for c in _CHUNK_COLS]))
-    label = link_classes(classes.drop("fan"), docs)
+    label = link_classes(classes.drop("fan"), signed, docs)
     linked = classes.join(label.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("root", F.coalesce("label", "cid"))
     # Only classes whose root isn't their only member's own id need to be looked up.
     several = cut(linked.filter("fan > 1 or root != cid").select("k1", "k2", "n", "root", "fan"))
