@@ -472,11 +472,11 @@ def span_map(spark, d):
     return out.select("doc_key", "start", "end", F.when(F.col("exact"), F.col("raw_start")).alias("exact_start"), "covered")
 
 
-@query(r"""WITH n AS (SELECT p_partkey AS entity, regexp_replace(p_name, '\s+', '', 'g') AS name FROM part), g AS (SELECT DISTINCT entity, substr(name, i, k) AS gram FROM n, (SELECT unnest(range(1, 200)) AS i), (SELECT unnest(range(2, 7)) AS k) WHERE i + k - 1 <= length(name))
+@query(r"""WITH n AS (SELECT c_custkey AS entity, regexp_replace(c_name, '\s+', '', 'g') AS name FROM customer), g AS (SELECT DISTINCT entity, substr(name, i, k) AS gram FROM n, (SELECT unnest(range(1, 200)) AS i), (SELECT unnest(range(2, 7)) AS k) WHERE i + k - 1 <= length(name))
 SELECT gram, entity FROM g WHERE gram IN (SELECT gram FROM g GROUP BY 1 HAVING count(*) <= 8)""")
 def alias_index(spark, d):
     """N-grams of names that few names share."""
-    return M.alias_windows(A.table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name")))
+    return M.alias_windows(A.table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name")))
 
 
 @query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
