@@ -147,6 +147,41 @@ def test_decontamination(spark):
     assert decontam.find(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_long_and_changed_items(spark):
+    """Items of 5 to 500 words, 0 to 45 % of the words changed, against the checks at every passage without any gate."""
+    rnd = random.Random(12)
+    vocab, common = [f"w{i}" for i in range(3000)], ["the", "of", "and", "to", "in", "a"]
+    draw = lambda: rnd.choice(common if rnd.random() < 0.4 else vocab)
+    items = [[draw() for _ in range(n)] for n in (5, 6, 8, 12, 16, 25, 40, 70, 130, 160, 200, 300, 500) for _ in range(2)]
+    rows = []
+    for i in range(156):
+        leak = list(items[i % len(items)])
+        for at in rnd.sample(range(len(leak)), round(len(leak) * (0, 0.25, 0.3, 0.35, 0.4, 0.45)[i // len(items)])):
+            leak[at] = draw()
+        rows.append((i, [draw() for _ in range(rnd.randint(0, 90))] + leak + [draw() for _ in range(rnd.randint(0, 90))]))
+    masks = []
+    number = {w: k for k, w in enumerate([*vocab, *common])}
+    for it in items:
+        own = np.array([number[w] for w in it])
+        masks.append(decontam.places(own))
+    want = {}
+    for i, w in rows:
+        h = [number[x] for x in w]
+        want[i] = set()
+        for k, it in enumerate(items):
+            m = len(it)
+            for at in range(0, len(h), decontam.BLOCK):
+                part = h[max(0, at - m) : at + 2 * decontam.BLOCK + m]
+                order = decontam.common_length(masks[k], m, part) / m
+                if order >= decontam.LCS_SURE or order >= decontam.LCS_ANSWER and decontam.common_length(decontam.places(np.array([number[x] for x in it[-4:]])), 4, part) / 4 >= decontam.ANSWER:
+                    want[i].add(k)
+                    break
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(it), " ".join(it[-4:])) for k, it in enumerate(items)], "item_id long, text string, answer string")
+    got = {r["doc_id"]: set(r["item_ids"]) for r in decontam.find(docs, bench).collect()}
+    assert got == want and sum(map(bool, want.values())) > 60
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
 
