@@ -540,5 +540,5 @@ def fuzzy_project(spark, d):
 @query()
 def offset_map(spark, d):
     """Equal blocks of every turn and its text with numbers masked."""
-    t = A.table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 400).alias("raw"))
+    t = A.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("raw"))
     return t.select("conv_id", "turn", layout.offset_map("raw", F.regexp_replace("raw", "[0-9]", "*")).alias("blocks"))

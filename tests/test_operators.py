@@ -48,6 +48,20 @@ def test_offsets_and_spans(spark):
     assert not got[3]["exact"] and raw[got[3]["raw_start"] : got[3]["raw_end"]] == "某某公司"
 
 
+def test_offset_map_of_whole_turns(spark, tmp_path):
+    """Blocks of a long turn: every character that is no digit, to the end."""
+    from docketry.plans import catalogue
+
+    text = " ".join(f"line {i} has {i * 37} words and more" for i in range(60))
+    rows = [(1, 0, text), (1, 1, "short 12"), (2, 0, "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["blocks"] for r in catalogue.offset_map(spark, str(tmp_path)).collect()}
+    for c, t, raw in rows:
+        at = [i for _, start, n in got[c, t] for i in range(start, start + n)]
+        assert at == [i for i, x in enumerate(raw) if not x.isdigit()]
+        assert all(final == start for final, start, _ in got[c, t])
+
+
 def test_facts(spark):
     tables = spark.createDataFrame([("A", 1, 1, ["合同金额", "甲方"], [["350,000.00", "CO0001"], [None, " "]])], "doc_key string, page_no int, table_index int, header array<string>, rows array<array<string>>")
     got = {r["fact_id"]: r for r in facts.cell_facts(tables).collect()}
