@@ -7,9 +7,11 @@ node's posterior share says how far its own estimate is mixed with those of long
 seen adds nothing, so its parent's estimate stands. The score is log10 of the probability of the text and its end.
 
 Counts are exact and gathered from every training text: tasks count the byte strings of DEPTH + 1 bytes, the counts are
-summed by key, and subtrees of three context bytes are weighted where they meet. The finished nodes are kept in hashed
-tables of fixed size (SLOTS), which is what is broadcast; nodes that share a slot are averaged by their counts. Word counts
-stay distributed: a table of at most WORD_SLOTS winners by hash is broadcast and the other words are joined.
+summed by key, and subtrees of three context bytes are weighted where they meet. Nodes are exact at every depth. Only those of
+up to two context bytes, of which there are at most 2**24 whatever the input, reach the driver and are broadcast. The deeper
+ones stay where their subtree is, and there the distinct byte strings of the texts get their costs. Texts are scored in
+chunks of about CHUNK bytes, each with the costs of its own distinct byte strings. Word counts stay distributed: a table of at
+most WORD_SLOTS winners by hash is broadcast and the other words are joined.
 
 Nulls and odd rows: a null text is empty and scored as its end alone; without training texts every decision has
 probability 1/2 and base counts are 0; repeated rows are scored row by row; an empty table gives an empty result. Only
@@ -24,21 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fan_join, fold
-from .shingles import mix, pieces, words
+from .shingles import pieces, words
 from .textbytes import as_bytes
 
 DEPTH = 5
 EDGE = 0xFF
-#: Slots of the tables of depth 0 to DEPTH; the first two have one for each node.
-SLOTS = (1 << 8, 1 << 16, 1 << 20, 1 << 20, 1 << 21, 1 << 22)
+#: Depth up to which nodes are broadcast.
+TOP = 2
+#: Bytes of texts that are scored together, and distinct byte strings that a task weighs.
+CHUNK, STRINGS = 1 << 24, 500_000
 WORD_SLOTS = 1 << 20
 #: The end token's place among word hashes.
 END_KEY = 0x5EED
 #: Bytes after which a task hands on what it has counted.
 FLUSH = 1 << 25
-MEMO = 1 << 20
-
-_OFFSETS = np.concatenate([[0], np.cumsum(SLOTS)])
 
 
 def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,10 +120,22 @@ def weigh(n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple[np.
 
 
 def slot(code: np.ndarray, depth: int) -> np.ndarray:
-    """Place of nodes of a depth in the joined tables."""
-    size = SLOTS[depth]
-    at = code if depth < 2 else (mix(code.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
-    return at + _OFFSETS[depth]
+    """The exact names of nodes of a depth among those of all depths."""
+    return code | depth << 48
+
+
+class Nodes:
+    """Values by node (named as by slot, in order); none for nodes that were never seen."""
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, none: float):
+        self.at, self.value = np.append(at, np.iinfo(np.int64).max), np.append(value, none)
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.at, at)
+        return np.where(self.at[i] == at, i, len(self.at) - 1)
+
+    def __getitem__(self, at):
+        return self.value[self.find(at)]
 
 
 def count_corpus(docs: DataFrame) -> DataFrame:
@@ -162,8 +175,26 @@ def count_corpus(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def build(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The tables of estimates and shares (share -1: an empty slot) from the counts of byte strings."""
+def deep(key: np.ndarray, n: np.ndarray):
+    """Nodes deeper than TOP as (slots, estimates, shares), deepest first; at last those of TOP as (codes, zeros, ones, log P_w of the children)."""
+    code, n0, n1 = leaves(key, n)
+    below = None
+    for depth in range(DEPTH, TOP, -1):
+        p, share, total = weigh(n0, n1, below)
+        yield slot(code, depth), p, share
+        code, n0, n1, below = summed(parent(code, depth), n0, n1, total)
+    yield code, n0, n1, below
+
+
+def by_subtree(grams: DataFrame) -> DataFrame:
+    """grams (with key) in partitions that hold subtrees of three context bytes whole, of about STRINGS rows."""
+    near = F.col("key").bitwiseAND(F.lit(0xFFFFFF00))  # the three context bytes next to the symbol
+    parts = max(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // STRINGS))
+    return grams.repartition(parts, near)
+
+
+def build(counts: DataFrame, depth: int = DEPTH) -> tuple[Nodes, Nodes]:
+    """Estimates and shares (share -1: never seen) of the nodes from the counts of byte strings, either of all nodes or, with depth TOP, of those up to it."""
     schema = pa.schema([("sum_row", pa.bool_()), ("at", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64())])
 
     def run(batches):
@@ -171,45 +202,36 @@ def build(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if not batches:
             return
         t = pa.Table.from_batches(batches)
-        code, n0, n1 = leaves(t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy())
-        below = None
-        for depth in range(DEPTH, 2, -1):
-            p, share, total = weigh(n0, n1, below)
-            n = n0 + n1
-            at, w, wp, ws = summed(slot(code, depth), n, n * p, n * share)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), bool)), pa.array(at), pa.array(w), pa.array(wp), pa.array(ws)], schema=schema)
-            code, n0, n1, below = summed(parent(code, depth), n0, n1, total)
+        *nodes, (code, n0, n1, below) = deep(t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy())
+        for at, p, share in nodes if depth > TOP else ():
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), bool)), pa.array(at), pa.array(p), pa.array(share), pa.array(np.zeros(len(at)))], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(code), bool)), pa.array(code), pa.array(n0), pa.array(n1), pa.array(below)], schema=schema)
 
-    grams = counts.filter("kind = 1").select("key", "n")
-    near = F.col("key").bitwiseAND(F.lit(0xFFFFFF00))  # the three context bytes next to the symbol
-    spread = grams.repartition(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), near)
-    rows = spread.mapInArrow(run, "sum_row boolean, at long, a double, b double, c double")
-    nodes = cut(rows.groupBy("sum_row", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")))
-    p_table, s_table = np.full(_OFFSETS[-1], 0.5, np.float32), np.full(_OFFSETS[-1], -1, np.float16)
-    for depth in range(DEPTH, 2, -1):  # one depth at a time, each at most SLOTS[depth] rows
-        mine = nodes.filter(~F.col("sum_row") & F.col("at").between(int(_OFFSETS[depth]), int(_OFFSETS[depth + 1]) - 1))
-        got = mine.select(F.col("at").cast("int"), (F.col("b") / F.col("a")).cast("float").alias("p"), (F.col("c") / F.col("a")).cast("float").alias("s")).toArrow()
-        where = got.column("at").to_numpy()
-        p_table[where], s_table[where] = got.column("p").to_numpy(), got.column("s").to_numpy()
-    got = nodes.filter("sum_row").select("at", "a", "b", "c").toArrow()  # nodes of depth 2: at most 2**24, a few hundred thousand in UTF-8 text
-    code, n0, n1, below = (got.column(x).to_numpy() for x in ("at", "a", "b", "c"))
-    for depth in (2, 1, 0):
+    rows = by_subtree(counts.filter("kind = 1").select("key", "n")).mapInArrow(run, "sum_row boolean, at long, a double, b double, c double")
+    got = rows.groupBy("sum_row", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")).orderBy("at").toArrow()
+    sums = got.column("sum_row").to_numpy()
+    at, a, b, below = (got.column(x).to_numpy() for x in ("at", "a", "b", "c"))
+    found = [(at[~sums], a[~sums], b[~sums])]
+    code, n0, n1, below = (x[sums] for x in (at, a, b, below))
+    for d in range(TOP, -1, -1):
         p, share, total = weigh(n0, n1, below)
-        n = n0 + n1
-        where, w, wp, ws = summed(slot(code, depth), n, n * p, n * share)
-        p_table[where], s_table[where] = wp / w, ws / w
-        if depth:
-            code, n0, n1, below = summed(parent(code, depth), n0, n1, total)
-    return p_table, s_table
+        found.append((slot(code, d), p, share))
+        if d:
+            code, n0, n1, below = summed(parent(code, d), n0, n1, total)
+    return tables(found)
+
+
+def tables(found: list) -> tuple[Nodes, Nodes]:
+    """Estimates and shares of lists of nodes (slots, estimates, shares), the deepest first."""
+    at, p, share = (np.concatenate(x) for x in zip(*found[::-1], strict=True))
+    return Nodes(at, p, 0.5), Nodes(at, share, -1.0)
 
 
 class Scorer:
-    """log10 probabilities of symbols after their contexts, with a memo of fixed size."""
+    """log10 probabilities of symbols after their contexts."""
 
-    def __init__(self, tables: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, tables: tuple[Nodes, Nodes]):
         self.p, self.share = tables
-        self.keys, self.costs = np.full(MEMO, ~np.uint64(0)), np.zeros(MEMO, np.float32)
 
     def work_out(self, key: np.ndarray) -> np.ndarray:
         node, bit = decisions(key & np.uint64(255))
@@ -217,43 +239,64 @@ class Scorer:
         out = np.zeros(len(key))
         for j in range(8):
             code = ctx << 8 | node[j]
-            path = []
+            p, deeper = np.full(len(key), 0.5), np.zeros(len(key), bool)
             for depth in range(DEPTH, -1, -1):
-                path.append(slot(code, depth))
-                if depth:
-                    code = parent(code, depth)
-            p = self.p[path[0]].astype(np.float64)
-            deeper = self.share[path[0]] >= 0
-            for at in path[1:]:
-                own, share = self.p[at].astype(np.float64), self.share[at].astype(np.float64)
+                at = self.p.find(slot(code, depth))
+                own, share = self.p.value[at], self.share.value[at]
                 p = np.where(deeper, share * own + (1 - share) * p, own)
                 deeper = share >= 0
+                if depth:
+                    code = parent(code, depth)
             out += np.log10(np.where(bit[j] == 1, p, 1 - p))
         return out
 
-    def logs(self, key: np.ndarray) -> np.ndarray:
-        at = (mix(key) & np.uint64(MEMO - 1)).astype(np.int64)
-        out = self.costs[at]
-        miss = np.flatnonzero(self.keys[at] != key)
-        if len(miss):
-            new, back = np.unique(key[miss], return_inverse=True)
-            cost = self.work_out(new).astype(np.float32)
-            out[miss] = cost[back]
-            to = (mix(new) & np.uint64(MEMO - 1)).astype(np.int64)
-            self.keys[to], self.costs[to] = new, cost
-        return out
 
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(off) - 1)
-        for i, j in pieces(off):
-            key, first, end = padded(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            logs = self.logs(key)
-            for d in range(j - i):
-                out[i + d] = logs[first[d] : end[d]].sum(dtype=np.float64)
-        return out
+def costs(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, cost): the log10 probability of every distinct byte string among asked (key)."""
+    top = build(counts, TOP)
+    shared = counts.sparkSession.sparkContext.broadcast((top[0].at[:-1], top[0].value[:-1], top[1].value[:-1]))
+    schema = pa.schema([("key", pa.int64()), ("cost", pa.float64())])
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        key, n, wanted = (t.column(c).to_numpy() for c in ("key", "n", "wanted"))
+        some = n > 0
+        *nodes, _ = deep(key[some].view(np.uint64), n[some])
+        scorer, key = Scorer(tables([*nodes, shared.value])), np.sort(key[wanted > 0])
+        for i in range(0, len(key), 1 << 16):
+            k = key[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(scorer.work_out(k.view(np.uint64)))], schema=schema)
 
+    seen = counts.filter("kind = 1").select("key", "n", F.lit(0).alias("wanted"))
+    new = asked.select("key").distinct().select("key", F.lit(0).cast("long").alias("n"), F.lit(1).alias("wanted"))
+    every = cut(seen.unionByName(new).groupBy("key").agg(F.sum("n").alias("n"), F.max("wanted").alias("wanted")))
+    return by_subtree(every).mapInArrow(run, "key long, cost double")
 
-_scorers: dict[str, Scorer] = {}
+
+def distinct_keys(chunked: DataFrame) -> DataFrame:
+    """(chunk, key): the distinct byte strings of each chunk's texts."""
+
+    def run(t):
+        data, off = as_bytes(t.column("text").combine_chunks())
+        own = [np.unique(own_keys(*padded(data[off[i] : off[j]], off[i : j + 1] - off[i]))) for i, j in pieces(off)]
+        key = np.unique(np.concatenate(own))
+        return pa.table({"chunk": pa.array(np.full(len(key), t.column("chunk")[0].as_py(), np.int32)), "key": pa.array(key.view(np.int64))})
+
+    return chunked.select("chunk", "text").groupBy("chunk").applyInArrow(run, "chunk int, key long")
+
+
+def score_texts(data: np.ndarray, off: np.ndarray, keys: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Scores of texts by the costs of their byte strings (keys in order)."""
+    out = np.zeros(len(off) - 1)
+    for i, j in pieces(off):
+        key, first, end = padded(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        logs = cost[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]  # keys across two texts are not used
+        for d in range(j - i):
+            out[i + d] = logs[first[d] : end[d]].sum()
+    return out
 
 
 def word_table(counts: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, int, int]:
@@ -272,26 +315,33 @@ def word_table(counts: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, in
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, with models of training."""
     counts = cut(count_corpus(training))
-    tables = build(counts)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // CHUNK)))).cast("int").alias("chunk")
+    chunked = docs.select(F.col("doc_id").cast("long"), "text", chunk)
+    asked = cut(distinct_keys(chunked))
+    priced = asked.join(costs(counts, asked), "key").select("chunk", "key", "cost")
     others, top_keys, top_n, N, V = word_table(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((tables, top_keys, top_n))
-    stamp = f"{id(shared)}-{N}-{V}-{float(tables[0].sum())}"
+    shared = docs.sparkSession.sparkContext.broadcast((top_keys, top_n))
     names = "doc_id long, n_tokens long, known long, logs double, score double, rare array<long>, times array<long>"
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
-    def run(batches):
-        tables, top_keys, top_n = shared.value
-        scorer = _scorers.get(stamp)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[stamp] = Scorer(tables)
+    def run(left, right):
+        return pa.Table.from_batches(list(batches(left, right)), schema=schema)
+
+    def batches(left, right):
+        top_keys, top_n = shared.value
+        if not left.num_rows:
+            return
+        keys, cost = right.column("key").to_numpy().view(np.uint64), right.column("cost").to_numpy()
+        order = np.argsort(keys)
+        keys, cost = keys[order], cost[order]
         log_n = np.log10(top_n + 0.5)
         none = np.log10(0.5)
         end = END_KEY & (WORD_SLOTS - 1)
         end_in = int(top_keys[end]) == END_KEY and top_n[end] > 0
-        for b in batches:
+        for b in left.combine_chunks().to_batches():
             data, off = as_bytes(b.column("text"))
-            scores = scorer.score(data, off)
+            scores = score_texts(data, off, keys, cost)
             for i, j in pieces(off):
                 h, _, _, first = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 at = (h & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
@@ -314,7 +364,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(z).view(np.int64), pa.int64())) for z in (rare, times)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, m), pa.array(tokens), pa.array(known), pa.array(sums), pa.array(scores[i:j]), *lists], schema=schema)
 
-    scored = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, names)).withColumn("row", F.monotonically_increasing_id())
+    scored = cut(chunked.groupBy("chunk").cogroup(priced.groupBy("chunk")).applyInArrow(run, names)).withColumn("row", F.monotonically_increasing_id())
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
     met = fan_join(rare, others.withColumn("fan", F.col("n")), ["key"], "fan", F.col("row"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     more = met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("l"))

@@ -162,6 +162,43 @@ def test_probabilities_sum_to_one(spark):
         assert (10.0 ** scorer.work_out(keys)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_exact_nodes_of_varied_text(spark):
+    """Scores of texts, seen and held out, against a tree in which no two nodes share a place."""
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choice("abcdefghijklmnopqrst uvwxyzé") for _ in range(rnd.randint(0, 900)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = {i: bytes([lm.EDGE]) * lm.DEPTH + t.encode() + bytes([lm.EDGE]) for i, t in rows}
+    keys = {i: [t[k : k + lm.DEPTH + 1] for k in range(len(t) - lm.DEPTH)] for i, t in raw.items()}
+    seen = collections.defaultdict(lambda: [0, 0])
+    for i in range(30):
+        for s in keys[i]:
+            for j in range(8):
+                for d in range(lm.DEPTH + 1):
+                    seen[s[lm.DEPTH - d : lm.DEPTH], (1 << j) | (s[-1] >> (8 - j))][(s[-1] >> (7 - j)) & 1] += 1
+    share, below = {}, collections.defaultdict(float)
+    for c, node in sorted(seen, key=lambda x: -len(x[0])):
+        a, b = seen[c, node]
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        total = own if len(c) == lm.DEPTH else np.logaddexp(own, below[c, node]) - math.log(2)
+        share[c, node] = 1.0 if len(c) == lm.DEPTH else math.exp(own - math.log(2) - total)
+        below[c[1:], node] += total if c else 0
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, docs.filter("doc_id < 30")).collect()}
+    for i in (0, 7, 30, 31, 35, 39):
+        want = 0.0
+        for s in keys[i]:
+            for j in range(8):
+                node, bit, p = (1 << j) | (s[-1] >> (8 - j)), (s[-1] >> (7 - j)) & 1, None
+                for d in range(lm.DEPTH, -1, -1):
+                    c = s[lm.DEPTH - d : lm.DEPTH]
+                    if (c, node) in seen:
+                        a, b = seen[c, node]
+                        own, w = (b + 0.5) / (a + b + 1), share[c, node]
+                        p = own if p is None else w * own + (1 - w) * p
+                p = 0.5 if p is None else p
+                want += math.log10(p if bit else 1 - p)
+        assert got[i] == pytest.approx(want, rel=1e-7)
+
+
 def test_tokens(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
