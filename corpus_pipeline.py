@@ -1,8 +1,13 @@
 """A training corpus from raw documents: five stages, each applied to all that the one before kept.
 
 The documents table goes through language ID, the quality classifier, near-duplicate removal and benchmark
-decontamination, which all return the columns of documents, and then into the mixture, which adds the words taken and the
-output shards. SQL can't express the stages; tests hold them against brute force.
+decontamination, which all return the columns of documents, and then into the mixture, which returns a row for each draw of
+a document, with its words and output shard. SQL can't express the stages; tests hold them against brute force.
+
+Nulls and odd rows: a null, empty or letterless text goes at language ID. Rows that repeat are judged alike; near
+duplicates keep all rows that agree in doc_id and text, or none. Rows with a null doc_id pass like others but name no
+group of near duplicates, so they stay. Columns beyond those of documents are carried; where one has the name of a
+column that the mixture adds, the added one gets an underscore. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least doc_id."""
-    return neardup.keep(docs)
+    """One document of each group of near duplicates (five-word shingles, a similarity of 0.8 or more), that of the least doc_id."""
+    return neardup.keep(docs, neardup.AT_80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +40,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, with size, source_size, target, taken and shards."""
-    plan = mixing.plan_mix(docs).filter("taken > 0").drop("source").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "__id")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"])).drop("__id")
+    """The mix: a row for each time that a document is taken, with draw, shard, taken (its words), size, source_size and target,
+    shuffled within each shard. Rows that share a doc_id are mixed row by row; documents without words are never taken."""
+    return mixing.draw_mix(docs)
 
 
 STAGES = [

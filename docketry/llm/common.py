@@ -31,10 +31,13 @@ def fold(c: Column, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset, a folder of the session's own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docketry-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docketry-"))
     return sc.getCheckpointDir()
 
 
@@ -82,16 +85,25 @@ def fan_join(big: DataFrame, small: DataFrame, keys: list[str], fan: str, spread
     return marked.join(right, [*keys, "__s"], how).drop("__s", fan)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, with as many underscores as make it differ from all columns."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, mask, **extra: Column) -> DataFrame:
-    """The rows of docs for which mask(Arrow batch) is true, all columns as they are; extra columns are worked out for mask only.
+    """The rows of docs for which mask(Arrow batch, extra columns by name) is true, all columns as they are; extra columns are worked out for mask only.
 
     Rows are filtered where they are read, so nothing is shuffled or joined.
     """
     names = docs.columns
+    added = {k: free(f"extra_{k}", names) for k in extra}
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield b.select(names).filter(pa.array(mask(b)))
+                yield b.select(names).filter(pa.array(mask(b, {k: b.column(v) for k, v in added.items()})))
 
-    return docs.select("*", *[c.alias(k) for k, c in extra.items()]).mapInArrow(run, docs.schema)
+    return docs.select("*", *[c.alias(added[k]) for k, c in extra.items()]).mapInArrow(run, docs.schema)

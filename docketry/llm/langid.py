@@ -178,7 +178,7 @@ def fit(docs: DataFrame) -> dict:
 def keep(docs: DataFrame) -> DataFrame:
     """docs without those whose text is null or has no letter, or whose language is in doubt; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    return keep_rows(docs, lambda b: ~judge(shared.value, b.column("text"), b.column("__letters"))[2], __letters=has_letter())
+    return keep_rows(docs, lambda b, more: ~judge(shared.value, b.column("text"), more["letters"])[2], letters=has_letter())
 
 
 def op2_language(spark, sf_dir) -> DataFrame:

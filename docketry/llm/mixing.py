@@ -6,9 +6,12 @@ binary tree of output shards: each node draws how many blocks of each source go
 multivariate hypergeometric distribution, so every shard has about the same mix and the quotas are met
 exactly. Each leaf then owns a disjoint run of every source's permuted blocks and shuffles it locally.
 
+The driver holds one total for each source and splits only sums over AT_ONCE sources at a time down the tree; the
+sources' own quotas are worked out and dealt in the executors, within what their sum was dealt, which is the same draw.
+
 Nulls and odd rows: a null text has size 0; a null source is a source of its own, last in order; rows
-that repeat are mixed row by row; sources of size 0 get target 0; an empty table gives an empty result.
-Only doc_id, text and source are read, so further columns cannot clash.
+that repeat, or share a doc_id, are mixed row by row; sources of size 0 get target 0; an empty table gives an empty result.
+Only doc_id, text and source are read; other columns are carried as they are, and added ones get a name that is free.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, lookup
+from .common import WORD, cut, free, lookup
 
 BLOCKS = 4096
 SHARDS = 64
 SEED = 20_17
-#: The mixture is configured by source, so sources are a short list; more than this is an error.
-MAX_SOURCES = 10_000
+#: Sources whose blocks one task plans.
+AT_ONCE = 256
 
 
 def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -46,111 +49,151 @@ def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     return out
 
 
-def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """quotas[s] blocks of each source dealt to shards: an array [shards, sources] whose columns sum to quotas."""
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
-    stack = [(0, shards, np.asarray(quotas, dtype=np.int64))]
+def deal(quotas: np.ndarray, room: np.ndarray, seed: list[int]) -> np.ndarray:
+    """quotas[s] blocks of each source dealt to shards of room[shard] blocks in all: an array [shards, sources] whose columns sum to quotas."""
+    room = np.asarray(room, dtype=np.int64)
+    out = np.zeros((len(room), len(quotas)), dtype=np.int64)
+    stack = [(0, len(room), np.asarray(quotas, dtype=np.int64))]
     while stack:
         lo, hi, q = stack.pop()
         if hi - lo == 1:
             out[lo] = q
             continue
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        n_left = int(q.sum()) * (mid - lo) // (hi - lo)
-        left = rng.multivariate_hypergeometric(q, n_left, method="marginals") if q.sum() else q * 0
+        rng = np.random.default_rng([*seed, lo, hi])
+        left = rng.multivariate_hypergeometric(q, int(room[lo:mid].sum()), method="marginals") if q.sum() else q * 0
         stack += [(lo, mid, left), (mid, hi, q - left)]
     return out
 
 
-def _units(stats: pd.DataFrame, weights: tuple[float, ...], cap: float, shards: int, seed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """From words by (source, block): the sources' targets, and for each block its whole takes, its partial need and its shards."""
-    names = sorted(stats["source"].dropna().unique()) + ([None] if stats["source"].isna().any() else [])
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"{len(names)} sources; the mixture takes at most {MAX_SOURCES}")
-    groups = [stats[stats["source"].isna() if n is None else stats["source"] == n].sort_values("block") for n in names]
-    sizes = [int(g["words"].sum()) for g in groups]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], cap)
-    rows, sequences = [], []
-    for i, g in enumerate(groups):
-        blocks, words = g["block"].to_numpy(), g["words"].to_numpy()
-        some = words > 0
-        blocks, words = blocks[some], words[some]
-        whole = int(goal[i] // sizes[i]) if sizes[i] else 0
-        rest = round(goal[i] - whole * sizes[i]) if sizes[i] else 0
-        order = np.random.default_rng([seed, 1, i]).permutation(len(blocks))
-        ends = np.cumsum(words[order])
-        full = int(np.searchsorted(ends, rest, side="right"))
-        need = rest - (int(ends[full - 1]) if full else 0)
-        takes, needs = np.full(len(blocks), whole, dtype=np.int64), np.zeros(len(blocks), dtype=np.int64)
-        takes[order[:full]] += 1
-        if need > 0:
-            needs[order[full]] = need
-        seq = [np.random.default_rng([seed, 2, i, p]).permutation(len(blocks)) for p in range(whole)]
-        seq.append(order[: full + (need > 0)])
-        sequences.append(np.concatenate(seq).astype(np.int64))
-        rows.append((blocks, takes, needs))
-    dealt = split_tree(np.array([len(s) for s in sequences], dtype=np.int64), shards, seed) if names else np.zeros((shards, 0), dtype=np.int64)
-    out = []
-    for i, (blocks, takes, needs) in enumerate(rows):
-        of = np.repeat(np.arange(shards), dealt[:, i])  # the shard of each place in the source's sequence
-        where: list[list[int]] = [[] for _ in blocks]
-        for place, b in enumerate(sequences[i]):
-            where[b].append(int(of[place]))
-        out += [(i, int(b), int(t), int(n), w) for b, t, n, w in zip(blocks, takes, needs, where, strict=True)]
-    totals = pd.DataFrame({"source": pd.Series(names, dtype=object), "source_no": range(len(names)), "source_size": sizes, "target": goal})
-    return totals, pd.DataFrame(out, columns=["source_no", "block", "takes", "need", "shards"])
+def shares(total: int, shards: int) -> np.ndarray:
+    """Room of the shards: a node's is cut in proportion to the number of its shards."""
+    out, stack = np.zeros(shards, dtype=np.int64), [(0, shards, total)]
+    while stack:
+        lo, hi, n = stack.pop()
+        if hi - lo == 1:
+            out[lo] = n
+            continue
+        mid = (lo + hi) // 2
+        left = n * (mid - lo) // (hi - lo)
+        stack += [(lo, mid, left), (mid, hi, n - left)]
+    return out
+
+
+def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """quotas[s] blocks of each source dealt evenly to shards."""
+    return deal(quotas, shares(int(np.sum(quotas)), shards), [seed])
+
+
+def sequence(blocks: np.ndarray, words: np.ndarray, goal: float, source: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A source's quota as places of blocks in the order they are drawn, with the takes of each block and its partial need."""
+    some = np.flatnonzero(words > 0)
+    size = int(words.sum())
+    takes, needs = np.zeros(len(blocks), dtype=np.int64), np.zeros(len(blocks), dtype=np.int64)
+    if not len(some):
+        return some, takes, needs
+    whole = int(goal // size)
+    rest = round(goal - whole * size)
+    order = some[np.random.default_rng([seed, 1, source]).permutation(len(some))]
+    ends = np.cumsum(words[order])
+    full = int(np.searchsorted(ends, rest, side="right"))
+    need = rest - (int(ends[full - 1]) if full else 0)
+    takes[some] = whole
+    takes[order[:full]] += 1
+    if need > 0:
+        needs[order[full]] = need
+    passes = [some[np.random.default_rng([seed, 2, source, p]).permutation(len(some))] for p in range(whole)]
+    return np.concatenate([*passes, order[: full + (need > 0)]]).astype(np.int64), takes, needs
+
+
+def _of_sources(rows: pd.DataFrame, seed: int):
+    """(source_no, its rows in order of blocks, sequence, takes, needs) of every source among rows."""
+    for no, g in rows.sort_values(["source_no", "block"]).groupby("source_no", sort=True):
+        yield int(no), g, *sequence(g["block"].to_numpy(), g["words"].to_numpy(), float(g["target"].iloc[0]), int(no), seed)
+
+
+def units(stats: DataFrame, weights: tuple[float, ...], cap: float, shards: int, seed: int) -> DataFrame:
+    """For words by (source, block): source_size, target, the block's whole takes, its partial need and its shards."""
+    spark = stats.sparkSession
+    stats = cut(stats)
+    sums = stats.groupBy("source").agg(F.sum("words").alias("size")).collect()  # one row for each source
+    sums = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
+    goal = targets([r["size"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))], cap)
+    rows = [(r["source"], i, r["size"], float(g)) for i, (r, g) in enumerate(zip(sums, goal, strict=True))]
+    totals = spark.createDataFrame(rows, "source string, source_no int, source_size long, target double")
+    known = lookup(stats, totals, ["source"], len(rows), F.col("block")).withColumn("part", F.floor(F.col("source_no") / AT_ONCE).cast("int"))
+    known = cut(known)
+
+    def places(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "places": [sum(len(seq) for _, _, seq, _, _ in _of_sources(rows, seed))]})
+
+    quota = np.zeros(-(-len(rows) // AT_ONCE), dtype=np.int64)
+    for r in known.groupBy("part").applyInPandas(places, "part int, places long").toLocalIterator():  # one row for AT_ONCE sources
+        quota[r["part"]] = r["places"]
+    room = spark.sparkContext.broadcast(split_tree(quota, shards, seed))  # 8 bytes a shard for AT_ONCE sources
+
+    def dealt(rows: pd.DataFrame) -> pd.DataFrame:
+        part, found, out = int(rows["part"].iloc[0]), list(_of_sources(rows, seed)), []
+        table = deal(np.array([len(seq) for _, _, seq, _, _ in found], dtype=np.int64), room.value[:, part], [seed, 3, part])
+        for k, (_, g, seq, takes, needs) in enumerate(found):
+            of = np.repeat(np.arange(shards), table[:, k])  # the shard of each place in the source's sequence
+            where: list[list[int]] = [[] for _ in range(len(g))]
+            for place, at in enumerate(seq.tolist()):
+                where[at].append(int(of[place]))
+            out.append(g[["source", "block", "source_size", "target"]].assign(takes=takes, need=needs, shards=where))
+        return pd.concat(out)
+
+    return known.groupBy("part").applyInPandas(dealt, "source string, block int, source_size long, target double, takes long, need long, shards array<int>")
 
 
 def plan_mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), cap: float = 3, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, shards (one for each time it is taken).
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, shards (one for each time it is taken), partial, row.
 
-    A document at the end of a source's last, partial block may be taken in part; all others whole.
+    A document at the end of a source's last, partial block may be taken in part: then partial words by its last draw. All
+    others are taken whole and have partial 0. row is the whole row of docs.
     """
-    spark = docs.sparkSession
-    base = cut(
-        docs.select(
-            "doc_id",
-            "source",
-            F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int").alias("block"),
-        )
-    )
-    stats = base.groupBy("source", "block").agg(F.sum("size").alias("words")).toPandas()  # at most blocks x sources rows
-    totals, units = _units(stats, tuple(weights), cap, shards, seed)
-    totals_df = spark.createDataFrame(
-        [(s, int(n), int(z), float(t)) for s, n, z, t in totals.itertuples(index=False)], "source string, source_no int, source_size long, target double"
+    same = F.xxhash64(F.lit(seed), "doc_id", "text")  # rows that agree in both stand for each other
+    base = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        "doc_id",
+        "source",
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.pmod(same, F.lit(blocks)).cast("int").alias("block"),
+        F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("order"),
     )
-    units_df = spark.createDataFrame(list(units.itertuples(index=False, name=None)), "source_no int, block int, takes long, need long, shards array<int>")
-    known = lookup(base, totals_df, ["source"], len(totals), F.col("doc_id"))
-    # (source, block) keys are hash blocks: none holds more than a source's 1/blocks of the rows.
-    known = known.join(units_df, ["source_no", "block"], "left").withColumn("need", F.coalesce("need", F.lit(0)))
-    inside = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    planned = cut(units(base.groupBy("source", "block").agg(F.sum("size").alias("words")), tuple(weights), cap, shards, seed))
+    # (source, block) keys are hash blocks: none holds more than a source's 1/blocks of the rows, unless rows repeat.
+    known = lookup(base, planned, ["source", "block"], planned.count(), F.col("order"))
+    inside = Window.partitionBy("source").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = known.filter("need > 0").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("need") - F.col("before")))).drop("before")
     all_ = known.filter("need = 0").withColumn("part", F.lit(0).cast("long")).unionByName(edge)
     # The partial draw is the last of its block's shards, so a document outside it loses that one.
-    shards_ = F.coalesce("shards", F.array().cast("array<int>"))
-    mine = F.when((F.col("need") > 0) & (F.col("part") == 0), F.slice(shards_, 1, F.greatest(F.lit(0), F.size(shards_) - 1))).otherwise(shards_)
+    mine = F.when((F.col("need") > 0) & (F.col("part") == 0), F.slice("shards", 1, F.greatest(F.lit(0), F.size("shards") - 1))).otherwise(F.col("shards"))
     return all_.select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
-        (F.coalesce("takes", F.lit(0)) * F.col("size") + F.col("part")).cast("long").alias("taken"),
+        (F.col("takes") * F.col("size") + F.col("part")).cast("long").alias("taken"),
         F.when(F.col("size") > 0, mine).otherwise(F.array().cast("array<int>")).alias("shards"),
+        F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(0).alias("partial"),
+        "row",
     )
 
 
-def draw_mix(docs: DataFrame, plan: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: a row for each time that a document is taken, with its shard, shuffled within each shard."""
-    drawn = plan.select("doc_id", "taken", F.posexplode("shards").alias("draw", "shard")).dropDuplicates(["doc_id", "draw"])
-    return (
-        docs.join(drawn, "doc_id")
-        .repartition(shards, "shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-        .sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 2), "shard", "doc_id", "draw"))
-    )
+def draw_mix(docs: DataFrame, plan: DataFrame | None = None, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix itself: a row of docs for each time that it is taken, with draw (0, 1, ...), shard, taken (words of this draw,
+    the first ones of the text), size, source_size and target, shuffled within each shard. plan: a plan of the same docs."""
+    plan = plan_mix(docs, shards=shards, seed=seed) if plan is None else plan
+    last = F.col("draw") == F.size("shards") - 1
+    words = F.when(last & (F.col("partial") > 0), F.col("partial")).otherwise(F.col("size"))
+    added = {"draw": F.col("draw"), "shard": F.col("shard"), "taken": words, "size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target")}
+    drawn = plan.select("*", F.posexplode("shards").alias("draw", "shard"))
+    own = F.xxhash64(F.lit(seed + 2), "shard", "row.doc_id", "row.text", "draw")
+    placed = drawn.withColumn("order", own).repartition(shards, "shard", F.pmod("order", F.lit(8))).sortWithinPartitions("shard", "order")
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns], *[v.alias(free(k, docs.columns)) for k, v in added.items()])
 
 
 def op1_source_mix(spark, sf_dir) -> DataFrame:

@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score is at least 0.5; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return keep_rows(docs, lambda b: scores(shared.value, *as_bytes(b.column("text"))) >= 0.5)
+    return keep_rows(docs, lambda b, more: scores(shared.value, *as_bytes(b.column("text"))) >= 0.5)
 
 
 def op4_quality(spark, sf_dir) -> DataFrame:

@@ -23,7 +23,7 @@ def near_rows(seed=3):
     return rows + [(300 + k, *r[1:]) for k, r in enumerate(texts()[-7:])]
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     sets = {}
     for r in rows:
         w = words((r[1] or "").translate(LOW))
@@ -39,7 +39,7 @@ def brute_groups(rows):
     for k, i in enumerate(ids):
         for j in ids[:k]:
             n = len(sets[i] & sets[j])
-            if n and 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if n and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -59,6 +59,63 @@ def test_near_duplicates(spark):
     assert neardup.group(docs.limit(0)).count() == 0
 
 
+def brute_rows(rows, percent):
+    """Component of each row, for rows that may share a doc_id or have none."""
+    sets = []
+    for _, t in rows:
+        w = words((t or "").translate(LOW))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    return [least.get(c) if sets[k] else rows[k][0] for k, c in enumerate(label)]
+
+
+@pytest.mark.parametrize("index", [neardup.AT_85, neardup.AT_80])
+def test_rows_that_share_a_doc_id(spark, index):
+    rnd = random.Random(index.percent)
+    vocab = [f"w{i}" for i in range(900)]
+    base = [[rnd.choice(vocab) for _ in range(rnd.randint(30, 120))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 4])):
+            w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        rows.append((rnd.choice([None, *range(60)]), " ".join(w)))
+    rows += [(1, None), (2, ""), (None, None), (1, rows[0][1])]
+    want = collections.Counter((i, c) for (i, _), c in zip(rows, brute_rows(rows, index.percent), strict=True))
+    for _ in range(2):
+        rnd.shuffle(rows)
+        docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, label string, __id string").repartition(3)
+        got = neardup.group(docs, index).collect()
+        assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == want
+        kept = neardup.keep(docs, index)
+        assert kept.columns == docs.columns
+        stay = collections.Counter((i, t) for (i, t), c in zip(rows, brute_rows(rows, index.percent), strict=True) if i is None or i == c)
+        assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == stay
+
+
+def test_certain_pairs_spare_others_only_on_demand():
+    rng = np.random.default_rng(4)
+    words_ = rng.integers(0, 1 << 30, 400)
+    texts_ = [" ".join(map(str, words_)).encode(), " ".join(map(str, words_[:-2])).encode(), " ".join(map(str, words_[1:])).encode()]
+    off = np.cumsum([0, *map(len, texts_)])
+    n, _, chunks, odd = neardup.signatures(np.frombuffer(b"".join(texts_), np.uint8), off)
+    found = {flag: set() for flag in (True, False)}
+    for flag in found:
+        for key_no in range(neardup.POSITIONS):
+            found[flag] |= {p[:2] for p in neardup.compare(np.arange(3), np.arange(3), n, chunks, odd.view(np.uint64), np.full(3, 2), key_no, sparing=flag)}
+    assert found[False] == {(0, 1), (0, 2), (1, 2)} and found[True] <= found[False] and len(found[True]) >= 2
+
+
 def test_index_finds_all_pairs_within_the_distance():
     """Pigeonhole: any two signatures that differ in at most MAX_DISTANCE positions share a key."""
     rng = np.random.default_rng(2)
@@ -196,9 +253,9 @@ def test_pipeline(spark, sf):
         if name != "mix":
             assert docs.columns == columns
         if name == "near_duplicates":
-            groups = brute_groups(list(before.items()))
+            groups = brute_groups(list(before.items()), 80)
             assert set(rows) == {i for i, (_, c) in groups.items() if c == i}
-    assert collections.Counter(r["doc_id"] for r in docs.collect()).most_common(1)[0][1] == 1
+    assert collections.Counter((r["doc_id"], r["draw"]) for r in docs.collect()).most_common(1)[0][1] == 1
     got = pipeline.run(spark, sf).drop("shards")
     assert {r["doc_id"] for r in got.collect()} == set(rows) and set(rows) <= ids
     assert sum(r["taken"] for r in got.collect()) == pytest.approx(sum(len(words(t)) for t in before.values()), abs=40)

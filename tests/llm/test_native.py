@@ -61,6 +61,43 @@ def test_mix(spark):
     assert mixing.plan_mix(docs.limit(0)).count() == 0
 
 
+def test_draws(spark):
+    """Draws of rows that share a doc_id or repeat, with columns named like the added ones, against the plan's words."""
+    rows = [(i % 7 if i % 5 else None, " ".join(["w"] * (i % 23)), f"s{i % 3}" if i % 4 else None, f"t{i}", i) for i in range(120)] + [(1, "a b c", "s1", "t1", 1)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken string, size int").repartition(3)
+    drawn = mixing.draw_mix(docs, shards=5).collect()
+    assert len(set(drawn[0].asDict())) == len(docs.columns) + 6
+    size, got = collections.Counter(), collections.Counter()
+    for _, t, s, _, _ in rows:
+        size[s] += len(words(t))
+    names = sorted(s for s in size if s) + [None]
+    goal = dict(zip(names, brute_targets([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 3), strict=True))
+    for r in drawn:
+        assert r["size_"] == len(words(r["text"])) and 0 < r["taken_"] <= r["size_"] and 0 <= r["shard"] < 5
+        got[r["source"]] += r["taken_"]
+    for s in names:
+        assert abs(got[s] - goal[s]) <= 1
+    most = collections.Counter((r["doc_id"], r["text"], r["source"], r["taken"], r["size"]) for r in drawn)
+    assert all(n <= 3 * rows.count(k) for k, n in most.items())
+
+
+def test_many_sources(spark):
+    """More sources than one task plans: targets and exact quotas, dealt in two steps."""
+    docs = spark.createDataFrame([(i, "w " * (i % 5 + 1), f"s{i % 700:04d}") for i in range(2100)], "doc_id long, text string, source string")
+    plan = mixing.plan_mix(docs, shards=4, blocks=16).collect()
+    size = collections.Counter()
+    for r in plan:
+        size[r["source"]] += r["size"]
+    names = sorted(size)
+    goal = dict(zip(names, mixing.targets([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 3), strict=True))
+    taken, at = collections.Counter(), collections.Counter()
+    for r in plan:
+        taken[r["source"]] += r["taken"]
+        at.update(r["shards"])
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in names)
+    assert max(at.values()) - min(at.values()) < 0.2 * max(at.values())
+
+
 def brute_rules(text):
     w = words(text)
     seen = collections.defaultdict(list)
