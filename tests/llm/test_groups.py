@@ -259,3 +259,37 @@ def test_pipeline(spark, sf):
     got = pipeline.run(spark, sf).drop("shards")
     assert {r["doc_id"] for r in got.collect()} == set(rows) and set(rows) <= ids
     assert sum(r["taken"] for r in got.collect()) == pytest.approx(sum(len(words(t)) for t in before.values()), abs=40)
+
+
+def test_cosines_of_passages_with_repeated_words():
+    """Lengths of passages against a direct count of their words, and cosines in a full-rank space against plain TF-IDF."""
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(30)]
+    many = [" ".join(rnd.choice(vocab[:5] if rnd.random() < 0.5 else vocab) for _ in range(rnd.choice([0, 1, 15, 16, 17, 33, 100]))) for _ in range(40)]
+    raw = [t.encode() for t in many]
+    h, first = decontam.tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    item = " ".join(rnd.choice(vocab[:12]) for _ in range(40)).encode()
+    own = decontam.tokens(np.frombuffer(item, np.uint8), np.array([0, len(item)]))[0]
+    idf = np.random.default_rng(1).random(decontam.DF_SLOTS).astype(np.float32) + 0.5
+    space = decontam.Space([{"words": own, "answer": own[:3], "item_id": 1}], idf)
+    _, _, inside, all_, last, base = space.passages(h, first)
+    slot = lambda x: int(x) & (decontam.DF_SLOTS - 1)
+    weigh = lambda ws: {w: n * float(idf[w]) for w, n in collections.Counter(map(slot, ws)).items()}
+    known, k, want = weigh(own), 0, {}
+    for t in range(len(many)):
+        ws = h[first[t] : first[t + 1]]
+        for at in range(0, len(ws), decontam.BLOCK):
+            v = weigh(ws[at : at + 2 * decontam.BLOCK])
+            assert all_[k] == pytest.approx(sum(x * x for x in v.values()), rel=1e-5)
+            assert inside[k] == pytest.approx(sum(x * x for w, x in v.items() if w in known), rel=1e-5)
+            dot = sum(x * known.get(w, 0) for w, x in v.items())
+            want[t, at // decontam.BLOCK] = dot / np.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in known.values()))
+            k += 1
+    assert k == base[-1]
+    finder = decontam.Finder(space, np.eye(len(space.vocab), dtype=np.float32), [{"words": own, "answer": own[:3], "item_id": 1}])
+    got = {(t, at): c for _, t, _, c, at in finder.candidates(h, first)}
+    assert got and max(got.values()) <= 1 + 1e-5
+    for key, c in want.items():
+        if c >= 0.501:
+            assert got[key] == pytest.approx(c, abs=1e-4)
+    assert set(got) <= {key for key, c in want.items() if c >= 0.499}
