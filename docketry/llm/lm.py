@@ -356,11 +356,11 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return (mix((key >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int64)
 
 
-def chunk_keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct byte strings of a chunk's texts and how often its training texts hold them."""
+def chunk_keys(t: pa.Table, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct byte strings of a chunk's texts and how often its training texts hold them (or none, if not counted)."""
     data, off = as_bytes(t.column("text").combine_chunks())
     learn = t.column("learn").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-    found, waiting, size = [], ([], []), 0
+    found, waiting, size, none = [], ([], []), 0, np.zeros(0, np.uint32)
     spans = list(pieces(off))
     for i, j in spans:
         key, first, end = padded(data[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -369,11 +369,18 @@ def chunk_keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         size += len(key)
         if size >= HOLD or j == spans[-1][1]:
             for side, keys in enumerate(waiting):
-                if keys:
+                if keys and counted:
                     k, n = np.unique(np.concatenate(keys), return_counts=True)
-                    found.append((k, n * side))
+                    found.append((k, (n * side).astype(np.uint32)))
+                elif keys:
+                    found.append((np.unique(np.concatenate(keys)), none))
             waiting, size = ([], []), 0
-    return summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+            if counted and sum(len(k) for k, _ in found[1:]) >= MERGE:
+                found = [summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))]
+    if not counted:
+        return np.unique(np.concatenate([k for k, _ in found])), none
+    key, n = summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+    return key, n.astype(np.int64)
 
 
 def blob_keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -489,7 +496,9 @@ def score_texts(data: np.ndarray, off: np.ndarray, keys: np.ndarray, cost: np.nd
     out = np.zeros(len(off) - 1)
     for i, j in pieces(off):
         key, first, end = padded(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        logs = cost[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]  # keys across two texts are not used
+        order = np.argsort(key)  # sorted, they are found next to each other
+        logs = np.empty(len(key), np.float32)
+        logs[order] = cost[np.minimum(np.searchsorted(keys, key[order]), len(keys) - 1)]  # keys across two texts are not used
         for d in range(j - i):
             out[i + d] = logs[first[d] : end[d]].sum(dtype=np.float64)
     return out
@@ -536,7 +545,7 @@ def score_rows(rows: DataFrame) -> DataFrame:
         top_keys, top_n = shared.value
         if not left.num_rows:
             return
-        keys, _ = chunk_keys(left)
+        keys, _ = chunk_keys(left, counted=False)
         cost = np.zeros(len(keys), np.float32)
         order = np.argsort(part_of(keys, parts), kind="stable")
         blobs = sorted(zip(right.column("part").to_pylist(), right.column("cost").to_pylist(), strict=True))
