@@ -47,14 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int, spread: Column, salts: int = 32) -> DataFrame:
-    """big left-joined with small on keys (null equals null); small has one row for each key.
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int, spread: Column, salts: int = 32, nulls: bool = True) -> DataFrame:
+    """big left-joined with small on keys (null equals null, unless nulls is false: one long key is cheapest then); small has one row for each key.
 
     small is broadcast while it has at most BROADCAST_ROWS rows. Beyond that both sides are salted by
     ``spread``, so a key with a third of big's rows still lands in many tasks.
     """
+    if small_rows == 0:
+        return big.select("*", *[F.lit(None).cast(t).alias(c) for c, t in small.dtypes if c not in keys])
     right = small.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) if nulls else F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]
     if small_rows <= BROADCAST_ROWS:
         right = F.broadcast(right)
     else:
@@ -78,7 +80,10 @@ def fan_join(big: DataFrame, small: DataFrame, keys: list[str], fan: str, spread
     rows, goes through lookup(). All other keys join once.
     """
     hot = cut(small.filter(F.col(fan) > HOT_ROWS).select(*keys, F.ceil(F.col(fan) / HOT_ROWS).cast("int").alias("__n")))
-    marked = lookup(big, hot, keys, hot.count(), spread)
+    n = hot.count()
+    if n == 0:
+        return big.join(small.drop(fan), keys, how)
+    marked = lookup(big, hot, keys, n, spread, nulls=False)
     marked = marked.withColumn("__s", F.when(F.col("__n") > 0, F.pmod(F.xxhash64(spread, F.lit(1)), F.col("__n")).cast("int")).otherwise(0)).drop("__n")
     salts = F.greatest(F.lit(1), F.ceil(F.col(fan) / HOT_ROWS)).cast("int")
     right = small.withColumn("__s", F.explode(F.when(F.col(fan) > HOT_ROWS, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))

@@ -14,7 +14,7 @@ from .common import cut, lookup
 
 def _through(df: DataFrame, col: str, labels: DataFrame, n: int, spread) -> DataFrame:
     """df with col replaced by its label, where it has one."""
-    found = lookup(df.withColumnRenamed(col, "__at"), labels.select(F.col("node").alias("__at"), F.col("label").alias("__label")), ["__at"], n, spread)
+    found = lookup(df.withColumnRenamed(col, "__at"), labels.select(F.col("node").alias("__at"), F.col("label").alias("__label")), ["__at"], n, spread, nulls=False)
     return found.withColumn(col, F.coalesce("__label", "__at")).drop("__at", "__label")
 
 

@@ -145,10 +145,11 @@ def _keys(index: Index) -> F.Column:
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids; null is an id like any other."""
-    some = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+    """The rows of docs whose doc_id is among ids, and where null is, those without one (or with the least long)."""
+    known = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    some = ids.select(known(F.col(ids.columns[0])).alias("id")).distinct()
     some = some.hint("broadcast" if some.count() <= BROADCAST_IDS else "shuffle_hash")
-    return docs.select(F.col("doc_id").cast("long"), "text").join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return docs.select(known(F.col("doc_id").cast("long")).alias("id"), "text").join(some, "id", "left_semi")
 
 
 def odd_range(difference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +240,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, index: Ind
 
 def _open_buckets(member: DataFrame, label: DataFrame) -> DataFrame:
     """key, key_no, fan, cid and root of the classes in buckets that hold several components."""
-    named = lookup(member.select("cid", "key", "key_no"), label.select(F.col("node").alias("cid"), "label"), ["cid"], label.count(), F.col("key"))
+    named = lookup(member.select("cid", "key", "key_no"), label.select(F.col("node").alias("cid"), "label"), ["cid"], label.count(), F.col("key"), nulls=False)
     named = named.select("cid", "key", "key_no", F.coalesce("label", "cid").alias("root"))
     open_ = named.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("fan")).filter("r1 != r2").select("key", "fan")
     return cut(fan_join(named, open_.withColumn("size", F.col("fan")), ["key"], "fan", F.col("cid")).withColumnRenamed("size", "fan"))
