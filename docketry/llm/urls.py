@@ -1,10 +1,12 @@
 """URL filters with a path-template tree for each host.
 
 Path segments that vary by their form (numbers, long hexadecimal strings) become typed wildcards at once; then,
-level by level, a segment position whose parent has many different, thinly used children becomes ``*``. The leaves
-of a parent whose share of blocked labels does not differ significantly from the parent's are merged with it.
-A template is rejected when its smoothed blocked share is above a threshold. Labels come from the rules: pages that
-a rule blocks or allows.
+level by level, a segment position whose parent has many different, thinly used children becomes ``*``. The tree is as deep
+as the paths are. From the deepest level up, a branch whose share of blocked labels does not differ significantly from that
+of the rest of its parent is merged with it, leaves and inner branches alike; one without labels of its own, or beside
+siblings without any, shows no difference and is merged whatever the table's size. Each template belongs to the nearest
+branch above it that stands apart, and is rejected when that branch's smoothed blocked share is above a threshold. Labels
+come from the rules: pages that a rule blocks or allows.
 
 Nulls and odd rows: a url that is null or has no ``://`` has an empty host and path; repeated rows are judged row by
 row; an empty table gives an empty result. Only page_id and url are read.
@@ -22,11 +24,9 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 #: A position is variable when its parent has at least so many children, with fewer pages each than that.
 MIN_CHILDREN, MAX_SUPPORT = 16, 8
-#: Levels of the tree; what lies deeper stays with the last segment as it is.
-LEVELS = 8
-#: Two-sided 5 %: siblings closer than this to their parent's blocked share are merged.
+#: Two-sided 5 %: branches closer than this to the blocked share of the rest of their parent are merged.
 MERGE_Z = 1.96
-#: The prior: so many labelled pages with that blocked share. A template without labels is allowed.
+#: The prior: so many labelled pages with that blocked share. A host without labels is allowed.
 PRIOR_PAGES, PRIOR_BLOCKED = 4.0, 0.1
 MAX_BLOCKED = 0.5
 
@@ -60,10 +60,11 @@ def shape_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(typed, r"/+", "/"), r"/$", "")
 
 
-def templates(shapes: DataFrame, levels: int) -> DataFrame:
+def templates(shapes: DataFrame) -> DataFrame:
     """shapes (host, shape, n, blocked, labelled) with the column template: thinly used children are generalised to ``*``."""
-    at = shapes.withColumn("segs", F.split(F.substr("shape", F.lit(2)), "/", LEVELS)).withColumn("template", F.lit(""))
-    for d in range(min(levels, LEVELS)):
+    at = shapes.withColumn("segs", F.split(F.substr("shape", F.lit(2)), "/")).withColumn("template", F.lit(""))
+    deepest = shapes.agg(F.max(F.size(F.split("shape", "/")))).first()[0] or 1
+    for d in range(deepest - 1):
         seg = F.get("segs", F.lit(d))
         nodes = (
             at.filter(seg.isNotNull())
@@ -72,31 +73,54 @@ def templates(shapes: DataFrame, levels: int) -> DataFrame:
             .groupBy("host", "template")
             .agg(F.count("*").alias("children"), F.sum("n").alias("pages"))
             .filter((F.col("children") >= MIN_CHILDREN) & (F.col("pages") < MAX_SUPPORT * F.col("children")))
-            .select(F.col("host").alias("__h"), F.col("template").alias("__t"), F.lit(True).alias("varies"))
+            .select("host", "template", F.lit(True).alias("varies"))
         )
-        at = at.join(nodes, (F.col("host") == F.col("__h")) & (F.col("template") == F.col("__t")), "left")
+        nodes = cut(nodes)
+        at = lookup(at, nodes, ["host", "template"], nodes.count(), F.col("shape"))
         step = F.when(seg.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("varies"), "*").otherwise(seg)))
-        at = cut(at.withColumn("template", step).drop("__h", "__t", "varies"))
+        at = cut(at.withColumn("template", step).drop("varies"))
     return at.drop("segs")
 
 
+def apart(b, l, rest_b, rest_l):  # noqa: E741
+    """Does a branch of b blocked among l labelled pages differ from the rest of its parent?"""
+    pooled = (b + rest_b + 0.5) / (l + rest_l + 1.0)
+    gap = F.abs((b + 0.5) / (l + 1.0) - (rest_b + 0.5) / (rest_l + 1.0))
+    z = gap / F.sqrt(pooled * (1 - pooled) * (1 / (l + 1.0) + 1 / (rest_l + 1.0)))
+    return (l > 0) & (rest_l > 0) & (z > MERGE_Z)
+
+
 def verdicts(shaped: DataFrame) -> DataFrame:
-    """host, shape, template, purity (smoothed blocked share after merging) of each shape."""
-    leaf = shaped.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    leaf = leaf.withColumn("parent", F.regexp_replace("template", r"/[^/]*$", ""))
-    parent = leaf.groupBy("host", "parent").agg(F.sum("b").alias("pb"), F.sum("l").alias("pl"))
-    leaf = leaf.join(parent, ["host", "parent"])
-    rest_b, rest_l = F.col("pb") - F.col("b"), F.col("pl") - F.col("l")
-    pooled = (F.col("pb") + 0.5) / (F.col("pl") + 1.0)
-    gap = F.abs((F.col("b") + 0.5) / (F.col("l") + 1.0) - (rest_b + 0.5) / (rest_l + 1.0))
-    z = gap / F.sqrt(pooled * (1 - pooled) * (1 / (F.col("l") + 1.0) + 1 / (rest_l + 1.0)))
-    leaf = leaf.withColumn("apart", z > MERGE_Z)
-    merged = leaf.filter("not apart").groupBy("host", "parent").agg(F.sum("b").alias("mb"), F.sum("l").alias("ml"))
-    leaf = leaf.join(merged, ["host", "parent"], "left")
-    own = lambda a, m: F.when(F.col("apart"), F.col(a)).otherwise(F.col(m))
-    purity = (own("b", "mb") + PRIOR_PAGES * PRIOR_BLOCKED) / (own("l", "ml") + PRIOR_PAGES)
-    scored = leaf.select("host", "template", purity.alias("purity"))
-    return shaped.select("host", "shape", "template").join(scored, ["host", "template"]).select("host", "shape", "template", "purity")
+    """host, template and purity (smoothed blocked share of the branch that it is merged into) of each template."""
+    ends = shaped.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    parts = F.split("template", "/")
+    prefix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("node"), (i - 1).alias("depth"), (i == F.size(parts)).alias("end")))
+    each = ends.select("host", "b", "l", F.explode(prefix).alias("p"))
+    own = lambda c: F.sum(F.when(F.col("p.end"), F.col(c)).otherwise(0)).alias(c)
+    nodes = cut(each.groupBy("host", F.col("p.node").alias("node"), F.col("p.depth").alias("depth")).agg(own("b"), own("l")))
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    level = lambda d: nodes.filter(F.col("depth") == d).select("host", "node", "b", "l")
+    pools, here = {}, level(deepest)
+    for d in range(deepest, 0, -1):
+        here = here.withColumn("parent", F.regexp_replace("node", r"/[^/]*$", ""))
+        up = here.groupBy("host", "parent").agg(F.sum("b").alias("cb"), F.sum("l").alias("cl")).withColumnRenamed("parent", "node")
+        up = cut(level(d - 1).join(up, ["host", "node"], "left").fillna(0, ["cb", "cl"]))
+        sums = up.select("host", F.col("node").alias("parent"), (F.col("b") + F.col("cb")).alias("pb"), (F.col("l") + F.col("cl")).alias("pl"))
+        here = lookup(here, sums, ["host", "parent"], up.count(), F.col("node"))
+        b, l = F.col("b"), F.col("l")  # noqa: E741
+        pools[d] = here = cut(here.withColumn("apart", apart(b, l, F.col("pb") - b, F.col("pl") - l)))
+        joins = here.filter("not apart").groupBy("host", "parent").agg(F.sum("b").alias("mb"), F.sum("l").alias("ml")).withColumnRenamed("parent", "node")
+        here = up.join(joins, ["host", "node"], "left").fillna(0, ["mb", "ml"])
+        here = here.select("host", "node", (F.col("b") + F.col("mb")).alias("b"), (F.col("l") + F.col("ml")).alias("l"))
+    purity = (F.col("b") + PRIOR_PAGES * PRIOR_BLOCKED) / (F.col("l") + PRIOR_PAGES)
+    known = cut(here.select("host", "node", purity.alias("purity")))
+    out = known
+    for d in range(1, deepest + 1):
+        above = known.select("host", F.col("node").alias("parent"), F.col("purity").alias("above"))
+        known = lookup(pools[d], above, ["host", "parent"], above.count(), F.col("node"))
+        known = cut(known.select("host", "node", F.when(F.col("apart"), purity).otherwise(F.col("above")).alias("purity")))
+        out = out.unionByName(known)
+    return ends.select("host", "template").join(out.withColumnRenamed("node", "template"), ["host", "template"])
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -112,9 +136,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
             F.count("ruled").alias("labelled"),
         ).fillna({"blocked": 0})
     )
-    seen = shapes.agg(F.count("*").alias("n"), F.max(F.size(F.split("shape", "/"))).alias("depth")).first()
-    scored = verdicts(templates(shapes, (seen["depth"] or 1) - 1))
-    joined = lookup(at, scored, ["host", "shape"], seen["n"], F.col("page_id"))
+    shaped = templates(shapes)
+    scored = cut(verdicts(shaped))
+    of = lookup(shaped.select("host", "shape", "template"), scored, ["host", "template"], scored.count(), F.col("shape"))
+    joined = lookup(at, of, ["host", "shape"], shapes.count(), F.col("page_id"))
     method = F.when(F.col("purity") > MAX_BLOCKED, "block").otherwise("allow")
     return joined.withColumn("verdict", F.coalesce("ruled", method))
 

@@ -161,6 +161,82 @@ def test_url_purity(spark):
     assert got[33]["verdict"] == "allow"
 
 
+def brute_verdicts(pages, rules_):
+    """Purity of every (host, template) by recursion over a tree of dictionaries; pages: (host, segments, blocked or None)."""
+    trees = collections.defaultdict(lambda: {"kids": {}, "rows": []})
+    for host, segs, label in pages:
+        at = trees[host]
+        for x in segs:
+            at = at["kids"].setdefault(x, {"kids": {}, "rows": []})
+        at["rows"].append(label)
+
+    def count(node):
+        return len(node["rows"]) + sum(map(count, node["kids"].values()))
+
+    def join(nodes):
+        out = {"kids": {}, "rows": [x for n in nodes for x in n["rows"]]}
+        for name in {k for n in nodes for k in n["kids"]}:
+            out["kids"][name] = join([n["kids"][name] for n in nodes if name in n["kids"]])
+        return out
+
+    def generalise(node):
+        kids = node["kids"]
+        if len(kids) >= urls.MIN_CHILDREN and sum(map(count, kids.values())) < urls.MAX_SUPPORT * len(kids):
+            node["kids"] = {"*": join(list(kids.values()))}
+        for k in node["kids"].values():
+            generalise(k)
+
+    def pool(node):
+        labels = [x for x in node["rows"] if x is not None]
+        b, n = sum(labels), len(labels)
+        pools = {k: pool(c) for k, c in node["kids"].items()}
+        tb, tn = b + sum(p[0] for p in pools.values()), n + sum(p[1] for p in pools.values())
+        for k, (kb, kn) in pools.items():
+            rb, rn = tb - kb, tn - kn
+            mean = (tb + 0.5) / (tn + 1)
+            z = abs((kb + 0.5) / (kn + 1) - (rb + 0.5) / (rn + 1)) / (mean * (1 - mean) * (1 / (kn + 1) + 1 / (rn + 1))) ** 0.5
+            node["kids"][k]["apart"] = kn > 0 and rn > 0 and z > urls.MERGE_Z
+            if not node["kids"][k]["apart"]:
+                b, n = b + kb, n + kn
+        node["pool"] = b, n
+        return b, n
+
+    out = {}
+
+    def walk(host, node, path, above):
+        b, n = node["pool"]
+        purity = (b + urls.PRIOR_PAGES * urls.PRIOR_BLOCKED) / (n + urls.PRIOR_PAGES) if above is None or node["apart"] else above
+        out[host, path] = purity
+        for k, c in node["kids"].items():
+            walk(host, c, f"{path}/{k}", purity)
+
+    for host, tree in trees.items():
+        generalise(tree)
+        pool(tree)
+        walk(host, tree, "", None)
+    return out
+
+
+def test_url_tree(spark):
+    """Method verdicts on random trees, deeper than eight segments too, against recursion."""
+    rnd = np.random.default_rng(5)
+    names, rows = ["de", "en", "shop", "a", "b"], []
+    for _ in range(1500):
+        host = ["a.com", "b.com", "c.com"][rnd.integers(3)]
+        deep = int(rnd.integers(0, 4)) if rnd.random() < 0.95 else 11
+        segs = [names[rnd.integers(5)] if rnd.random() < 0.8 else f"p{rnd.integers(10**6)}x" for _ in range(deep)]
+        rows.append((host, segs))
+    rules_ = (("a.com", "/de/", "block"), ("a.com", "/en/a/", "block"), ("b.com", "/shop/", "allow"), ("b.com", "/a/b", "block"), ("b.com", "/a/de", "allow"), ("c.com", "/b/a/", "block"))
+    pages = spark.createDataFrame([(i, f"http://{h}/" + "/".join(s)) for i, (h, s) in enumerate(rows)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(pages, rules_).collect()}
+    assert len(got) == len(rows)
+    want = brute_verdicts([(h, s, None if got[i]["ruled"] is None else int(got[i]["ruled"] == "block")) for i, (h, s) in enumerate(rows)], rules_)
+    for r in got.values():
+        assert r["purity"] == pytest.approx(want[r["host"], r["template"]])
+        assert r["verdict"] == (r["ruled"] or ("block" if r["purity"] > urls.MAX_BLOCKED else "allow"))
+    assert len({round(x, 6) for x in want.values()}) > 3
+
+
 def test_chat_events(spark):
     log = [
         (1, 1, "message", 1, "user", "hi"), (1, 2, "message", 2, "assistant", ""), (1, 3, "delta", 2, None, "one "), (1, 4, "delta", 2, None, "two"),
