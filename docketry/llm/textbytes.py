@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,19 +23,16 @@ def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list[tuple[str, object]]:
-    """(text, label) of at most per_label rows for each value of labels[label], those with the least hash of doc_id.
+    """(text, label) of at most per_label documents for each value of labels[label], those with the least hash of doc_id.
 
-    Only ids are ranked; of texts, only the chosen rows' reach the driver, so its size is bounded by the parameter.
+    One scan ranks ids within their label (each task keeps its own per_label least ones only); of texts, only the chosen
+    documents' reach the driver, one for each doc_id (the least, should it have several), so the size is bounded by the
+    parameter and the number of label values.
     """
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y"))
     labels = labels.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
-    values = sorted(r["y"] for r in labels.select("y").distinct().collect())
-    if not values:
-        return []
-    chosen = None
-    for v in values:
-        top = labels.filter(F.col("y") == F.lit(v)).orderBy("h", "doc_id").limit(per_label)
-        chosen = top if chosen is None else chosen.unionByName(top)
-    ids = docs.sparkSession.createDataFrame(chosen.select("doc_id", "y").collect(), labels.select("doc_id", "y").schema)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text is not null").collect()
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
+    chosen = labels.withColumn("place", place).filter(F.col("place") <= per_label).select("doc_id", "y")
+    ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).filter("text is not null").collect()
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (str(r["y"]), r["doc_id"], r["text"]))]

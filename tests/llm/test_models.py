@@ -41,6 +41,61 @@ def test_language_without_labels(spark):
     assert {r["lang_pred"] for r in langid.predict(one, langid.fit(one)).collect()} == {"en"}
 
 
+def test_decoding_by_brute_force():
+    """Margins from a count of every n-gram, and the least weighted loss among all codewords, one by one."""
+    rows = [(t, y) for _, t, y, *_ in texts(n=120) if t and y]
+    model = langid.train(rows)
+    many = [t for t, _ in rows[:40]] + ["", "a", "ab", "abc", "Été"]
+    raw = [t.encode() for t in many]
+    got = langid.margins(model, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    best, share, lead = langid.decode(model, got)
+    fold = lambda b: bytes(x + 32 if 65 <= x <= 90 else x for x in b)
+    for i, b in enumerate(raw):
+        if not b:
+            assert np.allclose(got[i], model["b"])
+            continue
+        b = fold(b.ljust(3))
+        m = np.zeros(len(model["b"]))
+        for k in range(len(b) - 2):
+            m += model["w"][:, b[k] << 8 | b[k + 1]]
+            m += model["w"][:, langid.TABLE + (((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435761 & 0xFFFFFFFF) >> 16)]
+        m = m / (len(b) - 2) + model["b"]
+        assert got[i] == pytest.approx(m, abs=1e-3)
+        loss = []
+        for word in model["book"]:
+            loss.append(sum(w * math.log1p(math.exp(-x * c)) for w, x, c in zip(model["trust"], got[i].tolist(), word, strict=True)) / sum(model["trust"]))
+        z = [math.exp(-x * len(m)) for x in loss]
+        order = sorted((x / sum(z) for x in z), reverse=True)
+        assert best[i] == int(np.argmin(loss)) and share[i] == pytest.approx(order[0]) and lead[i] == pytest.approx(order[0] - order[1])
+
+
+def test_scores_by_brute_force():
+    """The network's probability from each window, filter and chunk in turn."""
+    m, rnd = quality.new_model(), random.Random(4)
+    many = ["", "x", "ab cd" * 30, "".join(chr(rnd.randint(32, 300)) for _ in range(900))]
+    raw = [t.encode() for t in many]
+    got = quality.scores(m, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for b, p in zip(raw, got, strict=True):
+        n = max(1, -(-len(b) // quality.STEP))
+        b = b.ljust((n + quality.SPAN - 1) * quality.STEP, b"\0")
+        z = np.zeros((n, quality.FILTERS))
+        for i in range(n):
+            for k in range(quality.SPAN):
+                at = (i + k) * quality.STEP
+                z[i] += np.concatenate([m["e"][x] for x in b[at : at + quality.STEP]]).astype(float) @ m["w"][k]
+        h = [np.maximum(z[a : a + quality.CHUNK].max(0) + m["b"], 0) for a in range(0, n, quality.CHUNK)]
+        feats = np.concatenate([np.max(h, 0), np.mean(h, 0)])
+        assert p == pytest.approx(1 / (1 + math.exp(-(feats @ m["v"] + m["c"][0]))), abs=1e-4)
+
+
+def test_fit_on_empty_tables_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "z", "y")], "doc_id long, text string, lang string, __letters string, extra_letters string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert langid.fit(docs.limit(0))["names"] == [] and quality.fit(docs.limit(0), labels) == {"constant": 0.5}
+    assert langid.keep(docs).columns == docs.columns and quality.keep(docs, labels).columns == docs.columns
+    assert langid.keep(docs.limit(0)).count() == 0 and quality.keep(docs, labels).count() == 1
+
+
 def quality_rows(n=240):
     rnd, rows = random.Random(8), []
     for i in range(n):
