@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, keep_rows
 from .shingles import pieces
-from .textbytes import as_bytes, labelled_sample
+from .textbytes import as_bytes, labelled_sample, trained
 
 PER_LANGUAGE = 300
 EPOCHS = 6
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 def fit(docs: DataFrame) -> dict:
     """The model from texts with a lang whose fold is not 2."""
     known = docs.filter(fold(F.col("doc_id"), 4) != 2).filter("lang is not null and text is not null")
-    return train(labelled_sample(known, known, "lang", PER_LANGUAGE))
+    return trained(labelled_sample(known, known, "lang", PER_LANGUAGE), train)
 
 
 def keep(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, keep_rows
 from .shingles import pieces
-from .textbytes import as_bytes, labelled_sample
+from .textbytes import as_bytes, labelled_sample, trained
 
 PER_LABEL = 500
 EPOCHS = 12
@@ -152,7 +152,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 16, se
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The network from labelled documents whose fold is not 1."""
     known = labels.filter(fold(F.col("doc_id"), 3) != 1)
-    return train(labelled_sample(docs, known, "quality", PER_LABEL))
+    return trained(labelled_sample(docs, known, "quality", PER_LABEL), train)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,17 +24,26 @@ def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list[tuple[str, object]]:
-    """(text, label) of at most per_label documents for each value of labels[label], those with the least hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
+    """(doc_id, y, text) of at most per_label documents for each value y of labels[label], those with the least hash of doc_id.
 
-    One scan ranks ids within their label (each task keeps its own per_label least ones only); of texts, only the chosen
-    documents' reach the driver, one for each doc_id (the least, should it have several), so the size is bounded by the
-    parameter and the number of label values.
+    One scan ranks ids within their label (each task keeps its own per_label least ones only). Only ids reach the driver, at
+    most per_label for each label value; a doc_id with several texts gives the least.
     """
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y"))
     labels = labels.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
     place = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
     chosen = labels.withColumn("place", place).filter(F.col("place") <= per_label).select("doc_id", "y")
     ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).filter("text is not null").collect()
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (str(r["y"]), r["doc_id"], r["text"]))]
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).filter("text is not null")
+
+
+def trained(sample: DataFrame, train) -> dict:
+    """train([(text, y), ...]) of a labelled sample, run in one task so that neither texts nor training burden the driver."""
+
+    def run(t):
+        rows = sorted(zip(t.column("y").to_pylist(), t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True), key=lambda r: (str(r[0]), r[1], r[2]))
+        return pa.table({"model": pa.array([pickle.dumps(train([(text, y) for y, _, text in rows]))], pa.binary())})
+
+    got = sample.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else train([])
