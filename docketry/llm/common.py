@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of an iteration, written to a folder of their own in the shared folder.
+
+    Unlike a checkpoint, which keeps the estimated size of the plan that it cuts off, such a table has its files' size. Over
+    the rounds of an iteration estimates multiply to numbers with millions of digits, which fill the driver's memory.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """df, checkpointed; then the folder is removed."""
+        out = cut(df)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], small_rows: int, spread: Column, salts: int = 32, nulls: bool = True) -> DataFrame:
     """big left-joined with small on keys (null equals null, unless nulls is false: one long key is cheapest then); small has one row for each key.
 

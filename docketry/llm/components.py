@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup
+from .common import Scratch, lookup
 
 
 def _through(df: DataFrame, col: str, labels: DataFrame, n: int, spread) -> DataFrame:
@@ -20,21 +20,22 @@ def _through(df: DataFrame, col: str, labels: DataFrame, n: int, spread) -> Data
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every end of links (a, b): label is the least node reachable. Ends that are null are ignored."""
-    edges = cut(links.filter("a is not null and b is not null and a != b").select("a", "b").distinct())
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.table(links.filter("a is not null and b is not null and a != b").select("a", "b").distinct())
     labels = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+        hooks = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
         n = hooks.count()
         if n == 0:
             break
         while True:  # pointer jumping
-            jumped = cut(_through(hooks.withColumn("old", F.col("label")), "label", hooks, n, F.col("node")))
+            jumped = scratch.table(_through(hooks.withColumn("old", F.col("label")), "label", hooks, n, F.col("node")))
             done = jumped.filter("old != label").isEmpty()
             hooks = jumped.drop("old")
             if done:
                 break
-        labels = hooks if labels is None else cut(_through(labels, "label", hooks, n, F.col("node")))
+        labels = hooks if labels is None else scratch.table(_through(labels, "label", hooks, n, F.col("node")))
         moved = _through(_through(edges, "a", hooks, n, F.col("b")), "b", hooks, n, F.col("a"))
-        edges = cut(moved.filter("a != b").distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        edges = scratch.table(moved.filter("a != b").distinct())
+    return scratch.finish(labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label")))

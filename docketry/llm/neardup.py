@@ -254,7 +254,7 @@ def link_classes(classes: DataFrame, signed: DataFrame, docs: DataFrame, index:
     ends = member.select("cid", F.explode(F.array("low", "high")).alias("hub")).filter("cid != hub")
     tried = cut(ends.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct())
     links = cut(_confirmed(tried, classes, docs, index))
-    label = cut(components(links))
+    label = components(links)
     for sparing in (True, False):
         left = _open_buckets(member, label)
         known = classes.join(left.select("cid").distinct(), "cid", "left_semi")
@@ -265,7 +265,7 @@ def link_classes(classes: DataFrame, signed: DataFrame, docs: DataFrame, index:
         new = cut(cross.join(tried, ["a", "b"], "left_anti").select("a", "b"))
         if not new.isEmpty():
             links = cut(links.unionByName(_confirmed(new, classes, docs, index)))
-            label = cut(components(links))
+            label = components(links)
         if cross.filter("sure").join(links, ["a", "b"], "left_anti").isEmpty():
             break  # all that was spared for the sake of a certain pair was needless
         tried = tried.unionByName(new)
