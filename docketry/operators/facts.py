@@ -6,7 +6,9 @@ sequential within one document or table, so they are Arrow-batched functions tha
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -144,44 +146,51 @@ def replace_facts(old: DataFrame, new: DataFrame, key: str = "doc_key") -> DataF
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def replace_features(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old without the features (doc_key, seq) that new has, and new (K8)."""
+    return old.join(new.select("doc_key", "seq").distinct(), ["doc_key", "seq"], "left_anti").unionByName(new)
+
+
+def known_features(features: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Features whose code the catalogue has."""
+    return features.join(catalogue.select("code").distinct(), "code", "left_semi")
+
+
 _SEGMENT = StructType([StructField("text", StringType()), *[StructField(c, IntegerType()) for c in ("page_from", "page_to", "char_start", "char_end")]])
 
 
-def _split_block(line: str, most: int) -> list[str]:
-    parts = []
-    while len(line) > most:
-        ends = [m.end() for m in re.finditer(f"[{L.SENTENCE_END}]", line[: most + 1])]
-        at = ends[-1] if ends else most
-        parts.append(line[:at])
-        line = line[at:]
-    return [*parts, line] if line else parts
+def packed(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Runs [i, j) of neighbours with sizes of at most ``most`` in all, each as long as can be; a larger one is a run of its own."""
+    ends, runs, i = list(itertools.accumulate(sizes, initial=0)), [], 0
+    while i < len(sizes):
+        runs.append((i, max(i + 1, bisect_right(ends, ends[i] + most) - 1)))
+        i = runs[-1][1]
+    return runs
+
+
+def after_sentences(line: str, most: int) -> list[str]:
+    """A line in pieces of about ``most`` characters, cut after the last sentence that ends in them, else at ``most``."""
+    stops, cuts = [m.end() for m in re.finditer(f"[{L.SENTENCE_END}]", line)], [0]
+    while len(line) - cuts[-1] > most:
+        k = bisect_right(stops, cuts[-1] + most + 1)
+        cuts.append(stops[k - 1] if k and stops[k - 1] > cuts[-1] else cuts[-1] + most)
+    return [line[x:y] for x, y in itertools.pairwise([*cuts, len(line)]) if y > x]
 
 
 def segment_pages(pages: list[str], most: int = L.SEGMENT_MAX) -> list[dict]:
-    """Lines packed up to ``most`` characters, longer ones cut after a sentence, with page and character ranges."""
-    out: list[dict] = []
-    held: list[str] = []
-    size, begun, reached = 0, (1, 0), (1, 0)
-
-    def close():
-        if held:
-            out.append({"text": "\n".join(held), "page_from": begun[0], "page_to": reached[0], "char_start": begun[1], "char_end": reached[1]})
-
-    for p, page in enumerate(pages, 1):
-        offset = 0
-        for raw in (page or "").split("\n"):
-            line = raw.rstrip()
-            offset += len(raw) + 1
-            for piece in _split_block(line, most) if line.strip() else ():
-                if held and size + len(piece) + 1 > most:
-                    close()
-                    held, size = [], 0
-                if not held:
-                    begun = (p, max(offset - len(piece), 0))
-                held.append(piece)
-                size += len(piece) + 1
-                reached = (p, offset)
-    close()
+    """Lines packed up to ``most`` characters, longer ones cut after a sentence, with page and character ranges.
+
+    Every piece is placed by the end of its line in the page, line break included.
+    """
+    pieces = []  # (page, end of the line, text)
+    for number, page in enumerate(pages, 1):
+        lines = (page or "").split("\n")
+        for line, end in zip(lines, itertools.accumulate(len(x) + 1 for x in lines), strict=True):
+            pieces += [(number, end, x) for x in after_sentences(line.rstrip(), most) if line.strip()]
+    out = []
+    for i, j in packed([len(x) + 1 for _, _, x in pieces], most):
+        (first, end, head), (last, reached, _) = pieces[i], pieces[j - 1]
+        out.append({"text": "\n".join(x for _, _, x in pieces[i:j]), "page_from": first, "page_to": last, "char_start": max(end - len(head), 0), "char_end": reached})
     return out
 
 
@@ -196,14 +205,14 @@ def document_segments(docs: DataFrame) -> DataFrame:
     return each.select(F.concat_ws("-", "doc_no", F.col("i") + 1).alias("seg_id"), "doc_no", "text", "page_from", "page_to", "char_start", "char_end", S.clip(F.col("text"), L.SUMMARY_MAX).alias("summary"))
 
 
-def _float_cut(line: str, size: int, slack: int) -> list[str]:
-    parts = []
-    while len(line) > size:
-        near = [k for k in range(max(0, size - slack), min(len(line), size + slack)) if line[k] in L.CHUNK_BREAKS]
-        at = min(near, key=lambda k: (abs(k - size), k), default=size)
-        parts.append(line[: at or size])
-        line = line[at or size :]
-    return [*parts, line] if line else parts
+def near_breaks(line: str, size: int, slack: int) -> list[str]:
+    """A line in pieces of ``size``, each cut moved to the nearest break within ``slack`` (the earlier one of two)."""
+    cuts = [0]
+    while len(line) - cuts[-1] > size:
+        rest = line[cuts[-1] :]
+        around = (k for d in range(slack + 1) for k in (size - d, size + d) if 0 < k < min(len(rest), size + slack))
+        cuts.append(cuts[-1] + next((k for k in around if rest[k] in L.CHUNK_BREAKS), size))
+    return [line[x:y] for x, y in itertools.pairwise([*cuts, len(line)]) if y > x]
 
 
 _JOINED = re.compile(rf"(?<![A-Za-z0-9_\n])(?=(?:{'|'.join(L.CHUNK_LABELS)}):)")
@@ -211,25 +220,17 @@ _JOINED = re.compile(rf"(?<![A-Za-z0-9_\n])(?=(?:{'|'.join(L.CHUNK_LABELS)}):)")
 
 def chunk_text(text: str, size: int = L.CHUNK_SIZE, overlap: int = L.CHUNK_OVERLAP, slack: int = L.CHUNK_FLOAT) -> list[str]:
     """Chunks that start at line starts, over-long lines cut near a break, each led by the tail of the one before."""
+    bodies: list[str] = []
     lines = _JOINED.sub("\n", (text or "").strip()).splitlines()
-    raw, held, used = [], [], 0
-    for line in lines:
-        if held and used + len(line) + 1 > size:
-            raw.append("\n".join(held))
-            held, used = [], 0
-        if len(line) > size:
-            raw += ["\n".join(held)] if held else []
-            held, used = [], 0
-            raw += _float_cut(line, size, slack)
+    for over, run in itertools.groupby(lines, key=lambda x: len(x) > size):
+        run = list(run)
+        if over:
+            bodies += [piece for x in run for piece in near_breaks(x, size, slack)]
         else:
-            held.append(line)
-            used += len(line) + 1
-    raw += ["\n".join(held)] if held else []
-    out = []
-    for k, c in enumerate(raw):
-        tail = raw[k - 1][-overlap:] if k and overlap else ""
-        out.append(tail + ("" if not tail or tail.endswith("\n") else "\n") + c)
-    return [c for c in out if c.strip()]
+            bodies += ["\n".join(run[i:j]) for i, j in packed([len(x) + 1 for x in run], size)]
+    tails = ["", *(b[-overlap:] if overlap else "" for b in bodies)]
+    led = (t + "\n" * (t != "" and not t.endswith("\n")) + b for t, b in zip(tails, bodies, strict=False))
+    return [c for c in led if c.strip()]
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -165,28 +165,40 @@ def neighbours(edges: DataFrame, nodes: DataFrame, hypotheses: bool = True) -> D
     return symmetric(edges.filter(F.col("status").isin(allowed))).join(nodes.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
 
 
-def paths(edges: DataFrame, anchors: DataFrame, depth: int = L.MAX_DEPTH, most: int | None = L.MAX_PATHS, relations=None, hypotheses: bool = True) -> DataFrame:
-    """Simple paths of 1 to depth edges from anchors (node, anchor_confidence).
+def paths(edges: DataFrame, anchors: DataFrame, depth: int = L.MAX_DEPTH, most: int | None = L.MAX_PATHS, hypotheses: bool = True) -> DataFrame:
+    """Simple paths of 1 to depth edges from anchors (node, anchor_confidence), with the relations met.
 
     Confidence is the anchor's times each edge's, hypotheses at a reduced weight. ``most`` caps the paths of one anchor in
-    a fixed order (shorter, then by nodes), a bound of the traversal; None lists all.
+    a fixed order (shorter, then by nodes), a bound of the traversal; None lists all. As longer paths come last, an anchor
+    that has its paths is not followed further, so what is joined at a hop is bounded too.
     """
     weight = F.col("confidence") * F.when(F.col("status") == "hypothesis", L.HYPOTHESIS_WEIGHT).otherwise(1.0)
     kept = edges.filter(F.col("status").isin(["validated", "hypothesis"] if hypotheses else ["validated"]))
-    if relations:
-        kept = kept.filter(F.col("relation").isin(list(relations)))
-    step = symmetric(kept).select(F.col("at").alias("__at"), F.col("other").alias("__other"), "edge_id", weight.alias("__w"))
-    front = anchors.select(F.col("node").alias("anchor"), F.col("node").alias("end_node"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.col("anchor_confidence").cast("double").alias("chain"))
+    step = symmetric(kept).select(F.col("at").alias("__at"), F.col("other").alias("__other"), "edge_id", F.col("relation").alias("__relation"), weight.alias("__w"))
+    none = F.array().cast("array<string>")
+    front = anchors.select(F.col("node").alias("anchor"), F.col("node").alias("end_node"), F.array("node").alias("nodes"), none.alias("edges"), none.alias("relations"), F.col("anchor_confidence").cast("double").alias("chain"), F.lit(0).cast("long").alias("used"))
     out = None
     for _ in range(depth):
         grown = front.join(step, F.col("end_node") == F.col("__at")).filter(~F.array_contains("nodes", F.col("__other")))
-        front = grown.select("anchor", F.col("__other").alias("end_node"), F.concat("nodes", F.array("__other")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"), (F.col("chain") * F.col("__w")).alias("chain"))
+        more = {"nodes": "__other", "edges": "edge_id", "relations": "__relation"}
+        front = grown.select("anchor", F.col("__other").alias("end_node"), *[F.concat(k, F.array(v)).alias(k) for k, v in more.items()], (F.col("chain") * F.col("__w")).alias("chain"), "used")
+        if most is not None:
+            own = Window.partitionBy("anchor")
+            front = front.withColumn("__n", F.row_number().over(own.orderBy("nodes", "edges"))).filter((F.col("__n") <= most) & (F.col("__n") + F.col("used") <= most))
+            front = front.withColumn("used", F.col("used") + F.count("*").over(own)).drop("__n")
         out = front if out is None else out.unionByName(front)
-    out = out.withColumn("hops", F.size("edges"))
-    if most is not None:
-        place = F.row_number().over(Window.partitionBy("anchor").orderBy("hops", "nodes", "edges"))
-        out = out.withColumn("__n", place).filter(F.col("__n") <= most).drop("__n")
-    return out.withColumn("confidence", F.round("chain", 3)).drop("chain")
+        if most is not None:
+            front = front.filter(F.col("used") < most)
+    return out.withColumns({"hops": F.size("edges"), "confidence": F.round("chain", 4)}).drop("chain", "used")
+
+
+def wanted_chains(found: DataFrame, relations, types, documents: DataFrame) -> DataFrame:
+    """Paths with a wanted relation at any hop; where types are asked for, also those that end in a document of such a type."""
+    kept = F.arrays_overlap("relations", F.array(*[F.lit(r) for r in relations]).cast("array<string>"))
+    if not types:
+        return found.filter(kept)
+    ends = documents.filter(F.col("category").isin(list(types))).select(F.concat(F.lit("doc:"), "doc_key").alias("end_node"), F.lit(True).alias("__typed")).distinct()
+    return found.join(ends, "end_node", "left").filter(kept | F.col("__typed")).select(*found.columns)
 
 
 def best_chains(found: DataFrame, most: int = L.MAX_CHAINS) -> DataFrame:
@@ -223,6 +235,23 @@ def count_edges(edges: DataFrame) -> DataFrame:
     return g.select(dimension.alias("dimension"), F.coalesce("status", "relation", F.lit("all")).alias("name"), "n")
 
 
+def count_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes of each type, every type listed (A5): node_type, n."""
+    g = nodes.agg(*[F.count_if(F.col("node_type") == t).alias(t) for t in ("doc", "table", "row", "entity")])
+    return g.unpivot([], ["doc", "table", "row", "entity"], "node_type", "n")
+
+
+def build_state(state: DataFrame) -> DataFrame:
+    """Documents built and the time of the latest build (A5); state: doc_key, built_at."""
+    return state.agg(F.count("*").alias("n_built"), F.max("built_at").alias("last_built"))
+
+
+def with_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """edges with the labels of their nodes at both ends, null where a node has none (J27); labels: node_id, label."""
+    side = lambda x: labels.select(F.col("node_id").alias(x), F.col("label").alias(f"{x}_label"))
+    return edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+
+
 def set_status(edges: DataFrame, edge: str, status: str) -> DataFrame:
     """A person's verdict on one edge."""
     return edges.withColumn("status", F.when(F.col("edge_id") == edge, status).otherwise(F.col("status")))

@@ -150,6 +150,15 @@ def repository_state(documents: DataFrame, *counted: tuple[str, DataFrame]) -> D
     return documents
 
 
+def repository_summary(items: DataFrame) -> DataFrame:
+    """One row of totals over repository items (listed, source_exists, hub_exists, duplicate, n_facts, n_edges)."""
+    gone = lambda c: F.count_if(F.col("listed") & ~F.col(c))
+    return items.agg(
+        F.count_if("listed").alias("docs"), F.count_if(~F.col("listed")).alias("orphan"), gone("source_exists").alias("source_missing"), gone("hub_exists").alias("hub_missing"),
+        F.count_if("duplicate").alias("duplicate"), F.coalesce(F.sum("n_facts"), F.lit(0)).alias("facts"), F.coalesce(F.sum("n_edges"), F.lit(0)).alias("edges"),
+    )
+
+
 def unlisted(on_disk: DataFrame, documents: DataFrame) -> DataFrame:
     """Files without a document."""
     return on_disk.join(documents.select("doc_key"), "doc_key", "left_anti")

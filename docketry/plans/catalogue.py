@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -29,8 +30,25 @@ def query(sql: str | None = None):
     return add
 
 
+def _folder(spark) -> str:
+    """The folder that all executors share; without one, only a local session gets a folder of its own."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root or tempfile.mkdtemp(prefix="docketry-")
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
 def _edges(spark, d):
-    return graph.judge(graph.candidate_pairs(graph.signals(A.facts(spark, d))))
+    """The judged edges of the documents of d: built and stored by the first question of a session, then read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        path = f"{_folder(spark)}/edges-{uuid.uuid4().hex}"
+        graph.judge(graph.candidate_pairs(graph.signals(A.facts(spark, d)))).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
 
 
 # --- Counts and lists ---
@@ -254,7 +272,7 @@ def edge_conflicts(spark, d):
 
 @query(f"WITH {A.EDGES_SQL} SELECT 'status' AS dimension, status AS name, count(*) AS n FROM edges GROUP BY 2 UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM edges")
 def edge_counts(spark, d):
-    """A4, A5."""
+    """A4."""
     return router.execute({"action": "count_edges"}, {"edges": _edges(spark, d)})
 
 
@@ -287,7 +305,7 @@ p1 AS (SELECT node AS anchor, other AS e, [node, other] AS nodes, [edge_id] AS e
 p2 AS (SELECT anchor, other AS e, nodes || [other] AS nodes, eds || [edge_id] AS eds, c * confidence AS c FROM p1 JOIN st ON nd = e WHERE NOT list_contains(nodes, other)),
 p3 AS (SELECT anchor, other AS e, nodes || [other] AS nodes, eds || [edge_id] AS eds, c * confidence AS c FROM p2 JOIN st ON nd = e WHERE NOT list_contains(nodes, other)),
 p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3), r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY len(eds), nodes, eds) AS n FROM p)
-SELECT anchor, e AS end_node, array_to_string(nodes, '>') AS nodes, len(eds)::INT AS hops, round(c, 3) AS confidence FROM r WHERE n <= 400""")
+SELECT anchor, e AS end_node, array_to_string(nodes, '>') AS nodes, len(eds)::INT AS hops, round(c, 4) AS confidence FROM r WHERE n <= 400""")
 def paths_depth3(spark, d):
     """Simple paths from a question's anchors, at most 400 of each as the traversal's bound."""
     f = A.facts(spark, d)
@@ -297,6 +315,193 @@ def paths_depth3(spark, d):
     return found.select("anchor", "end_node", F.array_join("nodes", ">").alias("nodes"), "hops", "confidence")
 
 
+_ASKED = "CO0007 关联了哪些发票"
+_TYPED = "CASE WHEN doc_key LIKE 'O%' THEN '合同' ELSE '发票' END"
+
+
+@query(f"""WITH {A.BEST_SQL}, dk AS (SELECT DISTINCT doc_key, {_TYPED} AS category FROM facts), st AS (SELECT src AS nd, dst AS other, edge_id, relation, confidence FROM best UNION ALL SELECT dst, src, edge_id, relation, confidence FROM best),
+anc AS (SELECT node, max(k) AS k FROM (SELECT 'doc:' || doc_key AS node, 1.0::DOUBLE AS k FROM (SELECT * FROM facts WHERE contains(value, 'CO0007') ORDER BY doc_key, fact_id LIMIT 6)
+  UNION ALL SELECT 'doc:' || doc_key, {L.ANCHOR_CONFIDENCE["type"]}::DOUBLE FROM (SELECT * FROM dk WHERE category = '发票' ORDER BY doc_key LIMIT 6)) GROUP BY 1),
+p1 AS (SELECT node AS anchor, other AS e, [node, other] AS nodes, [edge_id] AS eds, [relation] AS rels, k * confidence AS c FROM anc JOIN st ON nd = node),
+p2 AS (SELECT anchor, other AS e, nodes || [other] AS nodes, eds || [edge_id] AS eds, rels || [relation] AS rels, c * confidence AS c FROM p1 JOIN st ON nd = e WHERE NOT list_contains(nodes, other)),
+p3 AS (SELECT anchor, other AS e, nodes || [other] AS nodes, eds || [edge_id] AS eds, rels || [relation] AS rels, c * confidence AS c FROM p2 JOIN st ON nd = e WHERE NOT list_contains(nodes, other)),
+p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3), r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY len(eds), nodes, eds) <= 400),
+w AS (SELECT anchor, e, nodes, eds, round(c, 4) AS confidence FROM r WHERE list_contains(rels, 'contract_to_invoice') OR substr(e, 5) IN (SELECT doc_key FROM dk WHERE category = '发票')),
+u AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY list_sort(eds), least(anchor, e), greatest(anchor, e) ORDER BY confidence DESC, anchor) = 1)
+SELECT anchor, e AS end_node, array_to_string(nodes, '>') AS nodes, len(eds)::INT AS hops, confidence FROM u ORDER BY confidence DESC, e, eds LIMIT 6""")
+def ask_chains(spark, d):
+    """The six best chains for a question; one hop of a wanted relation, or a wanted type at the end."""
+    f = A.facts(spark, d)
+    docs = f.select("doc_key", F.when(F.col("doc_key").startswith("O"), "合同").otherwise("发票").alias("category")).distinct()
+    found = router.execute({"action": "graph_traverse", "params": {"question": _ASKED}}, {"facts": f, "documents": docs, "edges": graph.best_edges(_edges(spark, d))})
+    return found.select("anchor", "end_node", F.array_join("nodes", ">").alias("nodes"), "hops", "confidence")
+
+
+@query(f"""WITH {A.FACTS_SQL}, n AS (SELECT DISTINCT 'doc' AS t, doc_key AS k FROM facts UNION SELECT 'table', doc_key FROM facts UNION SELECT 'row', doc_key FROM facts
+  UNION SELECT 'entity', value FROM facts WHERE header IN ('甲方', '销方')) SELECT t AS node_type, count(*) AS n FROM n GROUP BY 1""")
+def node_counts(spark, d):
+    """G1, A5: nodes of each type of all facts."""
+    f = A.facts(spark, d)
+    return graph.count_nodes(graph.build_nodes(f.select("doc_key").distinct(), f))
+
+
+@query("SELECT count(*) AS n_built, max(strftime(o_orderdate, '%Y-%m-%d')) AS last_built FROM orders")
+def build_state(spark, d):
+    """A5: built documents and the latest build."""
+    return graph.build_state(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("built_at")))
+
+
+@query(f"""WITH {A.EDGES_SQL}, l AS (SELECT 'doc:O' || o_orderkey AS node_id, o_orderpriority AS label FROM orders) SELECT edge_id, s.label AS src_label, t.label AS dst_label FROM edges LEFT JOIN l s ON src = s.node_id LEFT JOIN l t ON dst = t.node_id""")
+def edge_labels(spark, d):
+    """Labels at both ends of every edge."""
+    labels = A.table(spark, d, "orders").select(F.concat(F.lit("doc:O"), "o_orderkey").alias("node_id"), F.col("o_orderpriority").alias("label"))
+    return graph.with_labels(_edges(spark, d), labels).select("edge_id", "src_label", "dst_label")
+
+
+@query(f"""WITH {A.SIGNALS_SQL}, nw AS (SELECT * FROM sig WHERE doc_key LIKE 'V%'), ol AS (SELECT * FROM sig WHERE doc_key LIKE 'O%')
+SELECT n.node AS src, o.node AS dst, max(n.kind = 'amount') AS amount, max(n.kind = 'doc_no') AS doc_no FROM nw n JOIN ol o ON n.kind = o.kind AND n.value = o.value GROUP BY 1, 2""")
+def new_doc_candidates(spark, d):
+    """Invoices as new documents against stored contracts."""
+    s = graph.signals(A.facts(spark, d))
+    return graph.candidates_for(s.filter("doc_key like 'V%'"), s.filter("doc_key like 'O%'")).select("src", "dst", "amount", "doc_no")
+
+
+@query("SELECT count(*) FILTER (o_orderstatus <> 'P') AS docs, count(*) FILTER (o_orderstatus = 'P') AS orphan, count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice <= 50000) AS source_missing, count(*) FILTER (o_orderstatus <> 'P' AND o_orderpriority = '5-LOW') AS hub_missing, count(*) FILTER (o_custkey < 100) AS duplicate, sum(o_orderkey)::BIGINT AS facts, sum(o_custkey)::BIGINT AS edges FROM orders")
+def repository_summary(spark, d):
+    """Totals of all orders as repository items."""
+    o = A.table(spark, d, "orders")
+    items = o.select((F.col("o_orderstatus") != "P").alias("listed"), (F.col("o_totalprice") > 50000).alias("source_exists"), (F.col("o_orderpriority") != "5-LOW").alias("hub_exists"), (F.col("o_custkey") < 100).alias("duplicate"), F.col("o_orderkey").alias("n_facts"), F.col("o_custkey").alias("n_edges"))
+    return ledger.repository_summary(items).withColumns({c: F.col(c).cast("long") for c in ("facts", "edges")})
+
+
+# --- Scalars over tables ---
+
+
+@query("SELECT o_orderkey AS k, o_totalprice::DECIMAL(15,2)::DOUBLE AS amount, NULL::DOUBLE AS none FROM orders")
+def noisy_numbers(spark, d):
+    """Prices out of noisy text, and text without a number."""
+    o = A.table(spark, d, "orders")
+    noisy = F.concat(F.lit("合计 ￥ "), F.format_number(F.col("o_totalprice").cast("decimal(15,2)"), 2), F.lit(" 元整"))
+    return o.select(F.col("o_orderkey").alias("k"), S.number(noisy).alias("amount"), S.number(F.col("o_orderstatus")).alias("none"))
+
+
+@query("SELECT o_orderkey AS k, 'HT-' || o_orderkey || '-A' || o_custkey AS code, '采购合同HT-' || o_orderkey AS base, CASE WHEN o_orderstatus = 'F' THEN '（2）' WHEN o_orderstatus = 'O' THEN ' - 副本' ELSE '' END AS marker FROM orders")
+def file_names(spark, d):
+    """Contract codes and copy markers of file names."""
+    o = A.table(spark, d, "orders")
+    status = F.col("o_orderstatus")
+    marker = F.when(status == "F", "（2）").when(status == "O", " - 副本").otherwise("")
+    base, found = S.split_copy_marker(F.concat(F.lit("dir/采购合同HT-"), "o_orderkey", marker, F.lit(".docx")))
+    name = F.concat(F.lit("x-y 合同（ht-"), "o_orderkey", F.lit("-a"), F.col("o_custkey").cast("string"), F.lit("）"))
+    return o.select(F.col("o_orderkey").alias("k"), S.contract_code(name).alias("code"), base.alias("base"), found.alias("marker"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, replace(trim(text), chr(10), ' ') AS s FROM documents), h AS (SELECT doc_id, s, substr(s, 1, 50) AS head, regexp_extract(substr(s, 1, 50), '(?s)^.*[。！？；!?;]') AS ended FROM t)
+SELECT doc_id, CASE WHEN length(s) <= 50 THEN s WHEN length(ended) >= 30 THEN rtrim(ended) ELSE rtrim(head) END AS summary FROM h""")
+def clipped(spark, d):
+    """Every text clipped to a summary."""
+    return A.table(spark, d, "documents").select("doc_id", S.clip(F.col("text"), 50).alias("summary"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[\s\x{3000}\x0b\p{Z}]+', '', 'g') AS bare FROM documents")
+def bare_texts(spark, d):
+    """Every text without white space."""
+    return A.table(spark, d, "documents").select("doc_id", S.strip_space(F.col("text")).alias("bare"))
+
+
+# --- Facts and the ledger as tables ---
+
+
+@query(f"WITH {A.FACTS_SQL} SELECT fact_id, header, value FROM facts WHERE value ILIKE '%ht-7%' ORDER BY fact_id LIMIT 60")
+def facts_search(spark, d):
+    """The feature's limit is 60."""
+    return router.facts_like(A.facts(spark, d), "ht-7").select("fact_id", "header", "value")
+
+
+@query(f"WITH {A.FACTS_SQL} SELECT fact_id, value FROM facts WHERE header = '甲方' ORDER BY doc_key, fact_id LIMIT 40")
+def facts_of_header(spark, d):
+    """The feature's limit is 40."""
+    return router.facts_by_header(A.facts(spark, d), "甲方").select("fact_id", "value")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '%URGENT%'")
+def filtered_ledger(spark, d):
+    """Conditions that are given, all met; one not given is left out."""
+    return ledger.filter_by(A.table(spark, d, "orders"), o_orderstatus="F", o_orderpriority="%URGENT%", o_clerk=None).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT 'D' || doc_id AS doc_key, 'old' AS version FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'D' || doc_id, 'new' FROM labels")
+def facts_replaced(spark, d):
+    """Rows of relabelled documents give way to the new ones."""
+    key = F.concat(F.lit("D"), "doc_id").alias("doc_key")
+    return facts.replace_facts(A.table(spark, d, "documents").select(key, F.lit("old").alias("version")), A.table(spark, d, "labels").select(key, F.lit("new").alias("version")))
+
+
+@query("SELECT l_orderkey AS doc_key, l_linenumber AS seq, CASE WHEN EXISTS (SELECT 1 FROM lineitem n WHERE n.l_returnflag = 'R' AND n.l_orderkey = o.l_orderkey AND n.l_linenumber = o.l_linenumber) THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM lineitem o WHERE l_returnflag <> 'R' OR l_returnflag = 'R' GROUP BY ALL")
+def features_replaced(spark, d):
+    """K8: features by document and number, those of returned lines replaced."""
+    li = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_key"), F.col("l_linenumber").alias("seq"), "l_returnflag")
+    new = li.join(li.filter("l_returnflag = 'R'").select("doc_key", "seq").distinct(), ["doc_key", "seq"], "left_semi")
+    done = facts.replace_features(li.select("doc_key", "seq", F.lit("old").alias("version")), new.select("doc_key", "seq", F.lit("new").alias("version")))
+    return done.groupBy("doc_key", "seq", "version").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type AS code FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 HAVING avg(value) > (SELECT avg(value) FROM events))")
+def features_of_catalogue(spark, d):
+    """Events whose type the catalogue of above-average types has."""
+    e = A.table(spark, d, "events")
+    mean = e.agg(F.avg("value").alias("mean"))
+    catalogue = e.groupBy(F.col("event_type").alias("code")).agg(F.avg("value").alias("v")).join(F.broadcast(mean), F.col("v") > F.col("mean"))
+    return facts.known_features(e.select("event_id", F.col("event_type").alias("code")), catalogue).select("event_id", "code")
+
+
+@query("SELECT 'D' || doc_id AS doc_key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlisted_files(spark, d):
+    """Documents as files on disk, labelled ones as those that are listed."""
+    key = F.concat(F.lit("D"), "doc_id").alias("doc_key")
+    return ledger.unlisted(A.table(spark, d, "documents").select(key), A.table(spark, d, "labels").select(key))
+
+
+@query("SELECT DISTINCT c_custkey AS doc_key FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def shared_keys(spark, d):
+    """Keys in both of two workspaces."""
+    return ledger.shared_documents(A.table(spark, d, "customer").select(F.col("c_custkey").alias("doc_key")), A.table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("doc_key")))
+
+
+@query("SELECT conv_id, count(*) AS entries, sum(length(text))::BIGINT AS chars, sum(turn)::BIGINT AS tokens FROM conversations GROUP BY 1")
+def thinking_totals(spark, d):
+    """Entries, characters and tokens of each conversation."""
+    return ledger.thinking_stats(A.table(spark, d, "conversations").select("conv_id", "text", F.col("turn").alias("tokens"))).withColumn("tokens", F.col("tokens").cast("long"))
+
+
+@query("SELECT (SELECT count(*) = count(o_orderkey) AND count(*) = count(DISTINCT o_orderkey) FROM orders) AS orders_ok, (SELECT count(*) = count(o_custkey) AND count(*) = count(DISTINCT o_custkey) FROM orders) AS customers_ok")
+def key_columns(spark, d):
+    """Which columns can be keys."""
+    o = A.table(spark, d, "orders")
+    return ledger.can_be_key(o, "o_orderkey").withColumnRenamed("ok", "orders_ok").join(F.broadcast(ledger.can_be_key(o, "o_custkey").withColumnRenamed("ok", "customers_ok")), F.lit(True))
+
+
+@query("SELECT 'lineitem' AS \"table\", count(*) AS dropped FROM lineitem UNION ALL SELECT 'entity_map', 0 UNION ALL SELECT 'orders', count(*) FROM orders")
+def format_rows(spark, d):
+    """Rows that formatting would drop; mappings stay."""
+    return ledger.format_preview({"lineitem": A.table(spark, d, "lineitem"), "entity_map": A.table(spark, d, "customer"), "orders": A.table(spark, d, "orders")})
+
+
+@query("SELECT c_custkey AS doc_key, 'n' AS header, c_name AS value, c_mktsegment = 'BUILDING' AS there FROM customer")
+def truth_found(spark, d):
+    """Expected facts, found however they are spaced."""
+    c = A.table(spark, d, "customer")
+    row = lambda value: [F.col("c_custkey").alias("doc_key"), F.lit("n").alias("header"), value.alias("value")]
+    return cards.truth_check(c.select(*row(F.col("c_name"))), c.filter("c_mktsegment = 'BUILDING'").select(*row(F.concat(F.lit(" "), F.replace("c_name", F.lit("#"), F.lit("# "))))))
+
+
+@query(f"SELECT {A.CODE_SQL.format(p='CO', k='c_custkey')} AS code FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def dead_codes(spark, d):
+    """Customers that no pending order's text mentions."""
+    texts = A.table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("doc_key"), F.concat(F.lit("甲方："), A.code("CO", "o_custkey")).alias("text"))
+    return registry.dead(A.table(spark, d, "customer").select(A.code("CO", "c_custkey").alias("code")), texts)
+
+
 @query(f"""WITH {A.FACTS_SQL}, a AS (SELECT * FROM facts WHERE contains(value, 'CO0007') ORDER BY doc_key, fact_id LIMIT 6), b AS (SELECT * FROM facts WHERE contains(value, 'HT-31') ORDER BY doc_key, fact_id LIMIT 6)
 SELECT 'doc:' || doc_key AS node, 'code' AS anchor_kind, 'CO0007' AS anchor_value, doc_key, fact_id, 1.0::DOUBLE AS anchor_confidence FROM a
 UNION SELECT 'doc:' || doc_key, 'doc_no', 'HT-31', doc_key, fact_id, 1.0::DOUBLE FROM b""")
@@ -495,8 +700,7 @@ def user_totals(spark, d):
 @query("SELECT user_id, event_id, md5(event_type) AS fingerprint FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def incremental_build(spark, d):
     """The events table as a stream; state keeps the newest row of each key."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-")
-    folder = f"{root}/incremental-{spark.sparkContext.applicationId}-{abs(hash(d))}-{spark.sql('select uuid()').first()[0]}"
+    folder = f"{_folder(spark)}/incremental-{uuid.uuid4().hex}"
     schema = A.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     rows = stream.select("user_id", "event_id", F.md5("event_type").alias("fingerprint"))
@@ -531,10 +735,10 @@ def mask_text(spark, d):
 
 @query()
 def fuzzy_project(spark, d):
-    """Part names checked against those of every tenth part as registered projects."""
+    """Part names, each with its last letter dropped, checked against all part names as registered projects."""
     p = A.table(spark, d, "part")
-    registered = p.filter("p_partkey % 10 = 0").select(F.concat(F.lit("PJ"), "p_partkey").alias("code"), F.col("p_name").alias("name")).dropDuplicates(["name"])
-    return registry.check_projects(p.select(F.col("p_name").alias("name")), registered)
+    registered = p.groupBy(F.col("p_name").alias("name")).agg(F.concat(F.lit("PJ"), F.min("p_partkey")).alias("code")).select("code", "name")
+    return registry.check_projects(p.select(F.substring("p_name", 1, F.length("p_name") - 1).alias("name")).distinct(), registered)
 
 
 @query()

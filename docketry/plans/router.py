@@ -21,7 +21,7 @@ ACTIONS = (*DIRECT, "lookup_field", "recall_docs", "graph_traverse", "answer_fro
 def residue(question: str, extra: tuple[str, ...] = ()) -> str:
     """What the vocabulary leaves of a question, the longest word first at each place; clause marks are left too."""
     words = sorted({w for w in (*L.VOCABULARY, *extra) if w}, key=len, reverse=True)
-    known = re.compile("|".join(map(re.escape, words)) + "|[" + re.escape(L.IGNORED_MARKS.replace(",", "")) + "]")
+    known = re.compile("|".join(map(re.escape, words)) + "|[" + re.escape(L.IGNORED_MARKS) + "]")
     return known.sub("", question.strip())
 
 
@@ -180,11 +180,12 @@ def execute(plan: dict, tables: dict[str, DataFrame]) -> DataFrame:
     raise ValueError(f"no execution for {action}: it needs a model or a person")
 
 
-def ask(question: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """Chains of evidence for a question (G12): anchors, bounded paths, the best of them."""
+def ask(question: str, tables: dict[str, DataFrame], hypotheses: bool = False) -> DataFrame:
+    """Chains of evidence for a question (G12): anchors, bounded paths, those of a wanted relation or type, the best of them."""
     plan = parse_query(question)
     anchors = locate(tables["facts"], tables["documents"], plan).groupBy("node").agg(F.max("anchor_confidence").alias("anchor_confidence"))
-    return graph.best_chains(graph.paths(tables["edges"], anchors, relations=plan["relations"]))
+    found = graph.paths(tables["edges"], anchors, hypotheses=hypotheses)
+    return graph.best_chains(graph.wanted_chains(found, plan["relations"], plan["types"], tables["documents"]))
 
 
 def unresolved(plan: dict, anchors: DataFrame) -> DataFrame:

@@ -108,3 +108,23 @@ def test_parse_query():
     assert "contract_to_invoice" in p["relations"]
     assert router.unsupported_condition("上月几份合同") == "上月"
     assert router.field_words("合计金额是多少")[0] == "总额"
+
+
+APART = [
+    ("卡 6222 0000\n0000 0000 123 止", "6222 0000\n0000 0000 123", "bank_card"), ("6222/0000/0000/0000/123", "6222/0000/0000/0000/123", "bank_card"),
+    ("证件１１０１０１１９９００３０７１２３４ 完", "１１０１０１１９９００３０７１２３４", "id_card"), ("票据号 6222000000000000123", None, None), ("3636558.96×0.9-8400=789814.72", None, None),
+    ("订单编号：6222 0000 0000 0000 123", None, None), ("PO-6222 0000 0000 0000 123", None, None),
+]
+
+
+@pytest.mark.parametrize(("text", "value", "category"), APART)
+def test_digits_apart(text, value, category):
+    assert [(s[3], s[2]) for s in M.spans_of(text)] == ([(value, category)] if value else [])
+
+
+def test_company_tails():
+    assert M.company_tail("北京某某有限公司上海分公司") == "北京某某有限公司上海分公司" and M.company_tail("宁波某某股份有限公司等") == "宁波某某股份有限公司" and M.company_tail("张三") == "张三"
+
+
+def test_ascii_comma_is_ignored():
+    assert router.route("一共有多少份文件,")["action"] == "count_docs"

@@ -224,3 +224,25 @@ def test_sample_corpus(spark, tmp_path):
     assert [r["status"] for r in files.read_weak_edges(spark, str(tmp_path / "edges.json")).orderBy("dst").collect()] == ["validated", "hypothesis"]
     truth = files.read_truth(spark, str(tmp_path / "truth.json"))
     assert cards.truth_check(truth, spark.createDataFrame([("a", "h", "12")], "doc_key string, header string, value string")).first()["there"]
+
+
+def test_wanted_chains_and_capped_paths(spark):
+    """One hop of a wanted relation is enough, a wanted type at the end too; the cap keeps the same paths as a full listing cut afterwards."""
+    import random
+
+    rnd = random.Random(4)
+    ends = {tuple(sorted(rnd.sample(range(14), 2))) for _ in range(40)}
+    rows = [(f"e{i}", f"doc:{a:02d}", f"doc:{b:02d}", rnd.choice("rq"), 0.9, "validated") for i, (a, b) in enumerate(sorted(ends))]
+    edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, relation string, confidence double, status string")
+    anchors = spark.createDataFrame([("doc:01", 1.0), ("doc:05", 0.5)], "node string, anchor_confidence double")
+    every = graph.paths(edges, anchors, most=None).collect()
+    for most in (1, 5, 30, 200):
+        want = set()
+        for a in ("doc:01", "doc:05"):
+            own = sorted((r["hops"], r["nodes"], r["edges"]) for r in every if r["anchor"] == a)[:most]
+            want |= {(a, tuple(e)) for _, _, e in own}
+        assert {(r["anchor"], tuple(r["edges"])) for r in graph.paths(edges, anchors, most=most).collect()} == want
+    docs = spark.createDataFrame([(f"{i:02d}", "发票" if i < 4 else "合同") for i in range(14)], "doc_key string, category string")
+    for types in ([], ["发票"]):
+        got = {tuple(r["edges"]) for r in graph.wanted_chains(graph.paths(edges, anchors, most=None), ["q"], types, docs).collect()}
+        assert got == {tuple(r["edges"]) for r in every if "q" in r["relations"] or types and int(r["end_node"][4:]) < 4}
