@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts in which the ids of a label are ranked before they are ranked together.
+SPLITS = 64
+
+
 def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow string array end to end as uint8, and the n + 1 offsets; a null is empty. Nothing is copied."""
     if isinstance(column, pa.ChunkedArray):
@@ -32,8 +36,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     """
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y"))
     labels = labels.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
-    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
-    chosen = labels.withColumn("place", place).filter(F.col("place") <= per_label).select("doc_id", "y")
+    for part in (["y", F.pmod("h", F.lit(SPLITS))], ["y"]):  # each label in parts first, so that no task gets all tasks' ids of one label
+        place = F.row_number().over(Window.partitionBy(*part).orderBy("h", "doc_id"))
+        labels = labels.withColumn("place", place).filter(F.col("place") <= per_label).drop("place")
+    chosen = labels.select("doc_id", "y")
     ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).filter("text is not null")
 

@@ -204,6 +204,13 @@ def test_decontamination(spark):
     assert decontam.find(docs.limit(0), bench).count() == 0
 
 
+def test_texts_that_share_no_word_with_the_benchmark(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta " * 30, "", None, "gamma"])], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight. nine")], "item_id long, text string")
+    assert [r["contaminated"] for r in decontam.find(docs, bench).collect()] == [False] * 4
+    assert decontam.keep(docs, bench).count() == 4
+
+
 def test_decontamination_of_long_and_changed_items(spark):
     """Items of 5 to 500 words, 0 to 45 % of the words changed, against the checks at every passage without any gate."""
     rnd = random.Random(12)
