@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,8 +29,8 @@ def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
     """(doc_id, y, text) of at most per_label documents for each value y of labels[label], those with the least hash of doc_id.
 
-    One scan ranks ids within their label (each task keeps its own per_label least ones only). Only ids reach the driver, at
-    most per_label for each label value; a doc_id with several texts gives the least.
+    One scan ranks ids within their label (each task keeps its own per_label least ones only). A doc_id with several
+    texts gives the least, so the size is bounded by per_label and the number of label values.
     """
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y"))
     labels = labels.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
@@ -45,11 +43,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
 
 
 def trained(sample: DataFrame, train) -> dict:
-    """train([(text, y), ...]) of a labelled sample, run in one task so that neither texts nor training burden the driver."""
-
-    def run(t):
-        rows = sorted(zip(t.column("y").to_pylist(), t.column("doc_id").to_pylist(), t.column("text").to_pylist(), strict=True), key=lambda r: (str(r[0]), r[1], r[2]))
-        return pa.table({"model": pa.array([pickle.dumps(train([(text, y) for y, _, text in rows]))], pa.binary())})
-
-    got = sample.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "model binary").collect()
-    return pickle.loads(got[0]["model"]) if got else train([])
+    """train([(text, y), ...]) of a labelled sample, whose size labelled_sample bounds, on the driver."""
+    rows = sorted(sample.collect(), key=lambda r: (str(r["y"]), r["doc_id"], r["text"]))
+    return train([(r["text"], r["y"]) for r in rows])
