@@ -170,7 +170,7 @@ CLAUSE_MARKS, IGNORED_MARKS = "，。、；;", ",.!！?？:：（）()【】[]
 
 # --- Identity ---
 COPY_MARKER = r"([（(]\s*[0-9]{1,3}\s*[)）]|[-_\s]*(副本|拷贝|复件|copyright)([（(]\s*[0-9]{1,3}\s*[)）])?)$"
-CORE_SUFFIXES = r"(建设项目|项目工程|工程)$"
+CORE_SUFFIXES = ("建设项目", "项目工程", "工程")
 SIMILAR_MIN, SIMILAR_RATIO = 3, 0.75
 HEAD_TAIL_BYTES = 4096
 INVOICE_PATTERNS = {
@@ -184,3 +184,5 @@ INVOICE_PATTERNS = {
     "tax": (r"税额\s*[:：]?\s*[¥￥]?\s*([0-9][0-9,\.]{0,20})",),
     "contract_code": (r"合同编号\s*[:：]?\s*([A-Za-z0-9一-龥\-_/]{2,40})",),
 }
+PARTY_A = r"甲方(?:（[^）]+）|\([^\)]+\))?[:：]\s*([^\n，,。；;]{2,60})"
+UNCHECKED = "待人工核对"

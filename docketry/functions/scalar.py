@@ -289,9 +289,22 @@ def project_norm(c: Column) -> Column:
 
 
 def project_core(c: Column) -> Column:
-    """The norm without trailing kinds of project, while more than one character stays."""
-    once = lambda s: F.when(F.length(F.regexp_replace(s, L.CORE_SUFFIXES, "")) > 1, F.regexp_replace(s, L.CORE_SUFFIXES, "")).otherwise(s)
-    return let(let(let(project_norm(c), once), once), once)
+    """The norm without trailing kinds of project, taken off in rounds while more than one character stays."""
+
+    def without(word):
+        return lambda x: F.when(x.endswith(word) & (F.length(x) > len(word) + 1), F.substring(x, F.lit(1), F.length(x) - len(word))).otherwise(x)
+
+    def one_round(s):
+        for word in L.CORE_SUFFIXES:
+            s = let(s, without(word))
+        return s
+
+    def of(s):
+        shortest = min(map(len, L.CORE_SUFFIXES))
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.length(s) / shortest).cast("int")))
+        return F.aggregate(rounds, s, lambda x, _: one_round(x))
+
+    return let(project_norm(c), of)
 
 
 def project_fingerprint(c: Column) -> Column:
@@ -393,9 +406,9 @@ def jsonable(df):
 
 
 def contract_fields(name: Column, text: Column) -> Column:
-    """Contract number from the file name, and party A's code or name from masked text."""
+    """Contract number from the file name, or a mark with the name, and what the masked text calls party A, or null."""
     stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"(?<=.)\.[^.]*$", "")
-    party = F.trim(F.regexp_extract(text, r"甲方(?:（[^）]+）|\([^\)]+\))?[:：]\s*([^\n，,。；;]{2,60})", 1))
+    party = F.trim(F.regexp_extract(text, L.PARTY_A, 1))
     return F.struct(F.coalesce(contract_code(stem), F.concat(F.lit("无编号-"), stem)).alias("contract_code"), F.nullif(party, F.lit("")).alias("party_a"))
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import scalar as S
 
 
@@ -232,11 +234,52 @@ def history(messages: DataFrame, turns: int = 6) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("history"), F.count("*").alias("n_messages"))
 
 
-def rename_plan(files: DataFrame) -> DataFrame:
-    """Proposed names (dir, old, new) made unique in each directory by a number before the ending."""
-    n = F.row_number().over(Window.partitionBy("dir", "new").orderBy("old"))
-    stem, ext = F.regexp_replace("new", r"(?<=.)\.[^.]*$", ""), F.regexp_extract("new", r"(?<=.)(\.[^.]*)$", 1)
-    return files.withColumn("n", n).withColumn("new", F.when(F.col("n") == 1, F.col("new")).otherwise(F.concat(stem, F.lit("("), F.col("n").cast("string"), F.lit(")"), ext))).drop("n")
+def rename_plan(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """Proposed names (dir, old, new) made different from each other and from the names that exist (dir, name).
+
+    A taken name gets (1), (2), ... before its ending, in order of the old names. Names can only meet if they are alike
+    without such numbers, so each such family of a directory is settled by itself; a task
+    reads its families in order and holds the names of one.
+    """
+    parts = lambda c: (F.regexp_replace(c, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(c, r"(?<=.)(\.[^.]*)$", 1))
+    family = lambda c: F.concat_ws("/", F.regexp_replace(parts(c)[0], r"(\([0-9]+\))+$", ""), parts(c)[1])
+    stem, ext = parts(F.col("new"))
+    asked = files.select("dir", family(F.col("new")).alias("family"), F.lit(1).alias("asks"), "old", "new", stem.alias("stem"), ext.alias("ext"))
+    none = F.lit(None).cast("string")
+    there = existing.select("dir", family(F.col("name")).alias("family"), F.lit(0).alias("asks"), none.alias("old"), F.col("name").alias("new"), none.alias("stem"), none.alias("ext"))
+    order = ["dir", "family", "asks", "old", "new"]
+    rows = asked.unionByName(there).repartition("dir", "family").sortWithinPartitions(*order)
+
+    def settle(batches):
+        at, taken, tried = None, set(), {}
+        for batch in batches:
+            out = []
+            for directory, fam, asks, old, new, stem, ext in batch.itertuples(index=False):
+                if (directory, fam) != at:
+                    at, taken, tried = (directory, fam), set(), {}
+                given, n = new, tried.get(new, 0) if asks else 0
+                while asks and given in taken:
+                    n += 1
+                    given = f"{stem}({n}){ext}"
+                if asks:
+                    tried[new] = n
+                    out.append((directory, old, given))
+                taken.add(given)
+            yield pd.DataFrame(out, columns=["dir", "old", "new"])
+
+    return rows.mapInPandas(settle, "dir string, old string, new string")
+
+
+def contract_rows(documents: DataFrame, codes: DataFrame) -> DataFrame:
+    """Ledger rows of contracts by patterns alone (P24): documents: doc_key, name, text; codes: code, real_value.
+
+    Party A's real value by its code in the text; where it isn't known, it is left for a person to check.
+    """
+    found = documents.select("doc_key", S.contract_fields(F.col("name"), F.col("text")).alias("f")).select("doc_key", "f.*")
+    real = codes.select(F.col("code").alias("party_a"), "real_value").dropDuplicates(["party_a"])
+    return found.join(real, "party_a", "left").select(
+        "doc_key", "contract_code", F.lit(None).cast("string").alias("contract_term"), F.coalesce("real_value", F.lit(L.UNCHECKED)).alias("party_a"), F.lit(0.0).alias("income"), F.lit(False).alias("is_paid"),
+    )
 
 
 def thinking_stats(messages: DataFrame) -> DataFrame:

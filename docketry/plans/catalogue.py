@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -15,28 +14,7 @@ from ..operators import cards, facts, graph, layout, ledger, registry
 from ..streaming import incremental
 from . import adapters as A
 from . import router
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _folder(spark) -> str:
-    """The folder that all executors share; without one, only a local session gets a folder of its own."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return root or tempfile.mkdtemp(prefix="docketry-")
-
+from .entries import ORACLES, QUERIES, query, shared_folder
 
 _stored: dict[tuple[str, str], str] = {}
 
@@ -45,7 +23,7 @@ def _edges(spark, d):
     """The judged edges of the documents of d: built and stored by the first question of a session, then read."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _stored:
-        path = f"{_folder(spark)}/edges-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
         graph.judge(graph.candidate_pairs(graph.signals(A.facts(spark, d)))).write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
@@ -700,7 +678,7 @@ def user_totals(spark, d):
 @query("SELECT user_id, event_id, md5(event_type) AS fingerprint FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def incremental_build(spark, d):
     """The events table as a stream; state keeps the newest row of each key."""
-    folder = f"{_folder(spark)}/incremental-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
     schema = A.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     rows = stream.select("user_id", "event_id", F.md5("event_type").alias("fingerprint"))
@@ -746,3 +724,6 @@ def offset_map(spark, d):
     """Equal blocks of every turn and its text with numbers masked."""
     t = A.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("raw"))
     return t.select("conv_id", "turn", layout.offset_map("raw", F.regexp_replace("raw", "[0-9]", "*")).alias("blocks"))
+
+
+from . import record_queries, value_queries  # noqa: E402, F401  (they register their queries)

@@ -128,3 +128,8 @@ def test_company_tails():
 
 def test_ascii_comma_is_ignored():
     assert router.route("一共有多少份文件,")["action"] == "count_docs"
+
+
+@pytest.mark.parametrize(("name", "core"), [("南苑工程工程工程", "南苑"), ("A项目工程", "A项目"), ("XY项目工程项目工程", "XY项目"), ("X建设项目工程", "X建设"), ("工程", "工程"), ("", "")])
+def test_project_core_rounds(spark, name, core):
+    assert one(spark, S.project_core(F.col("a")), a=name) == core

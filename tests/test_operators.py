@@ -246,3 +246,18 @@ def test_wanted_chains_and_capped_paths(spark):
     for types in ([], ["发票"]):
         got = {tuple(r["edges"]) for r in graph.wanted_chains(graph.paths(edges, anchors, most=None), ["q"], types, docs).collect()}
         assert got == {tuple(r["edges"]) for r in every if "q" in r["relations"] or types and int(r["end_node"][4:]) < 4}
+
+
+def test_names_apart(spark):
+    """Names of a family that meet each other and those that exist, against one pass in order over the directory."""
+    rows = [("d", f"{i:02d}", n) for i, n in enumerate(["a.txt", "a.txt", "a(1).txt", "a.txt", "b", "b", "a(1)(1).txt", "a(2).txt", "a.doc"])] + [("e", "00", "a.txt")]
+    there = {"d": {"a.txt", "a(3).txt", "b(1)"}, "e": set()}
+    want, taken = {}, {k: set(v) for k, v in there.items()}
+    for d, old, new in rows:
+        stem, dot, ext = new.rpartition(".") if "." in new else (new, "", "")
+        given = next(x for n in range(99) if (x := new if n == 0 else f"{stem}({n}){dot}{ext}") not in taken[d])
+        taken[d].add(given)
+        want[d, old] = given
+    asked = spark.createDataFrame(rows, "dir string, old string, new string")
+    have = spark.createDataFrame([(d, n) for d, ns in there.items() for n in ns], "dir string, name string")
+    assert {(r["dir"], r["old"]): r["new"] for r in ledger.rename_plan(asked, have).collect()} == want
