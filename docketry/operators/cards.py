@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,25 +99,63 @@ def vector_top_k(chunks: DataFrame, query: list[float], k: int = 5, **meta) -> D
     return chunks.withColumn("similarity", F.round(cosine(F.col("embedding"), q), 6)).orderBy(F.desc_nulls_last("similarity"), "vec_id").limit(k)
 
 
-#: Queries that are broadcast at a time.
-QUERY_BLOCK = 4096
+#: Queries that are sent out at a time, and vectors that a task multiplies with them at a time.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+
+
+def _units(vectors, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of ``dim`` numbers at unit length, and which rows are such; others have no cosine."""
+    own = np.fromiter((v is not None and len(v) == dim for v in vectors), bool, len(vectors))
+    m = np.zeros((len(vectors), dim))
+    if own.any():
+        m[own] = np.array([np.asarray(v, np.float64) for v, o in zip(vectors, own, strict=True) if o])
+    length = np.sqrt((m * m).sum(axis=1))
+    ok = own & (length > 0) & np.isfinite(length)
+    return np.divide(m, length[:, None], out=np.zeros_like(m), where=ok[:, None]), ok
+
+
+def _nearest(wanted: pd.DataFrame, k: int):
+    """A function of batches (vec_id, embedding) that gives each query's k nearest of a partition; it holds no more than these."""
+    dims = sorted({len(v) for v in wanted["vector"] if v is not None and len(v)})
+    asked = [(dim, *_units(list(wanted["vector"]), dim)) for dim in dims]
+    ids, low = wanted["query_id"].to_numpy(), np.iinfo(np.int64).min  # a null vec_id comes first among equals
+
+    def run(batches):
+        best = np.full((len(ids), 0), -np.inf)
+        best_id = np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            for i in range(0, len(batch), ROW_BLOCK):
+                part = batch.iloc[i : i + ROW_BLOCK]
+                sim = np.full((len(ids), len(part)), -np.inf)
+                for dim, q, q_ok in asked:
+                    m, ok = _units(list(part["embedding"]), dim)
+                    sim[np.ix_(q_ok, ok)] = np.round(q[q_ok] @ m[ok].T, 6)
+                sim, near = np.hstack([best, sim]), np.hstack([best_id, np.broadcast_to(part["vec_id"].fillna(low).to_numpy(np.int64), sim.shape)])
+                order = np.lexsort((near, -sim), axis=-1)[:, :k]
+                best, best_id = np.take_along_axis(sim, order, 1), np.take_along_axis(near, order, 1)
+        flat, flat_id = best.ravel(), pd.Series(best_id.ravel(), dtype="Int64")
+        found = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": flat_id.mask(flat_id == low), "similarity": pd.Series(flat, dtype="Float64").mask(pd.Series(flat == -np.inf))})
+        yield found
+
+    return run
 
 
 def vector_top_k_batch(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest chunks of each query (query_id, vector), exactly.
+    """The k nearest chunks (vec_id, embedding) of each query (query_id, vector), exactly: query_id, vec_id, similarity, place.
 
-    Queries go against all chunks in blocks of about QUERY_BLOCK, so what is broadcast is bounded. Candidates keep to k for
-    each query and hash part before they meet.
+    Queries go against all chunks in blocks of about QUERY_BLOCK, so what is sent out is bounded: a task multiplies blocks
+    of unit vectors and keeps k for each query, and only these meet. Equal similarities are in order of vec_id. A null
+    or zero vector, or one of another length, has a null similarity and comes last.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    order = (F.desc_nulls_last("similarity"), F.asc("vec_id"))
+    kind, id_kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["vec_id"]
     out = None
     for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector")
-        scored = chunks.join(F.broadcast(part)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
-        near = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("n") <= k)
+        wanted = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").toPandas()
+        near = chunks.select("vec_id", "embedding").mapInPandas(_nearest(wanted, k), f"query_id {kind}, vec_id {id_kind}, similarity double")
         out = near if out is None else out.unionByName(near)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("place") <= k).drop("n", "part")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), F.asc("vec_id")))
+    return out.withColumn("place", place).filter(F.col("place") <= k)
 
 
 def dedupe_documents(hits: DataFrame) -> DataFrame:

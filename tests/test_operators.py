@@ -261,3 +261,31 @@ def test_names_apart(spark):
     asked = spark.createDataFrame(rows, "dir string, old string, new string")
     have = spark.createDataFrame([(d, n) for d, ns in there.items() for n in ns], "dir string, name string")
     assert {(r["dir"], r["old"]): r["new"] for r in ledger.rename_plan(asked, have).collect()} == want
+
+
+def test_nearest_vectors_equal_brute_force(spark, monkeypatch):
+    """Blocks of queries and rows, ties, zero and null vectors, another length, a table smaller than k and an empty one."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(cards, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(cards, "ROW_BLOCK", 7)
+    rnd = random.Random(5)
+    vectors = [[float(rnd.randint(-2, 2)) for _ in range(3)] for _ in range(60)] + [[0.0] * 3, None, [1.0, 2.0]]
+    asked = [*vectors[:8], [0.0] * 3, [1.0, 2.0]]
+    e = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, vector array<float>")
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or not any(a) or not any(b):
+            return None
+        return round(float(np.dot(a, b) / np.sqrt(np.dot(a, a)) / np.sqrt(np.dot(b, b))), 6)
+
+    for table, n in ((e, len(vectors)), (e.filter("vec_id < 2"), 2), (e.limit(0), 0)):
+        got = {(r["query_id"], r["place"]): (r["vec_id"], r["similarity"]) for r in cards.vector_top_k_batch(table, q, 5).collect()}
+        want = {}
+        for i, a in enumerate(asked):
+            ranked = sorted(((v, cosine(a, vectors[v])) for v in range(n)), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+            want |= {(i, place): x for place, x in enumerate(ranked[:5], 1)}
+        assert got == want
