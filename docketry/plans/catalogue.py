@@ -585,31 +585,6 @@ def cross_category_dups(spark, d):
     return registry.cross_category(s.unionByName(c)).select("fingerprint", "n_categories", F.array_join("codes", ",").alias("codes"))
 
 
-_HEADERS = ("单位", "单位全称", "申请单位：", "开户行", "银行账号", "纳税人识别号", "联系电话", "合同金额", "开票日期", "甲方（公章）：", "施工企业", "公司", "经办人", "")
-
-
-def _case(core: str) -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({core}, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{c}'" for c, ws in L.HEADER_RULES) + f" WHEN length({core}) >= 3 AND regexp_matches({core}, '(单位|公司|企业|集团)$') THEN 'company' END"
-
-
-@query(f"""WITH h AS (SELECT unnest([{", ".join(f"'{x}'" for x in _HEADERS)}]) AS header), c AS (SELECT header, regexp_replace(regexp_replace(regexp_replace(header, '[：:=＝ ]+$', ''), '[（(][^）)]*[）)]', '', 'g'), '[：:=＝ ]+$', '') AS core FROM h)
-SELECT header, CASE WHEN core = '' OR core IN ({", ".join(f"'{x}'" for x in L.AMBIGUOUS_HEADERS)}) THEN NULL ELSE {_case("core")} END AS category FROM c""")
-def header_semantics(spark, d):
-    """P25."""
-    rows = spark.createDataFrame([(h,) for h in _HEADERS], "header string")
-    return rows.select("header", S.match_category(F.col("header")).alias("category"))
-
-
-_VALUES = (("id_card", "11010119900307123X"), ("id_card", "1101"), ("bank_account", "6222 0000 0000 0000 123"), ("tax_id", "91320200MA1XYZ0001"), ("date", "2026年9月1日"), ("date", "二〇二六"), ("bank_name", "宁波银行无锡分行"), ("bank_name", "无"), ("phone", "138-0013-8000"), ("company", "某某有限公司"), ("company", "2026-09-01"), ("party", "张三"), ("party", ""))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{v}', {ok})" for (c, v), ok in zip(_VALUES, (True, False, True, True, True, False, True, False, True, True, False, True, False), strict=True)) + ") t(category, value, valid)")
-def value_valid(spark, d):
-    """P26."""
-    rows = spark.createDataFrame(list(_VALUES), "category string, value string")
-    return rows.select("category", "value", S.value_valid(F.col("value"), F.col("category")).alias("valid"))
-
-
 # --- Layout, spans, windows ---
 
 _TABLES = {
