@@ -373,7 +373,9 @@ def requests_prepared(spark, d):
 @query(f"""WITH {A.EDGES_SQL} SELECT edge_id, relation, confidence, status FROM edges WHERE relation = 'amount_consistent'""")
 def replies_ingested(spark, d):
     """Replies that name a relation become edges with confidences of our own; unknown relations go."""
-    pairs = graph.candidate_pairs(graph.signals(A.facts(spark, d)))
+    from . import catalogue
+
+    pairs = catalogue._pairs(spark, d)
     requests = pairs.withColumn("request_id", graph.request_id(F.lit("doc_doc"), F.col("src"), F.col("dst")))
     replies = requests.select("request_id", F.when(F.col("amount"), "amount_consistent").otherwise("friends").alias("relation"))
     return graph.ingest_replies(requests, replies).select("edge_id", "relation", "confidence", "status")
