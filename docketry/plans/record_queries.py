@@ -365,9 +365,10 @@ def edge_verdict(spark, d):
 @query(f"""WITH {A.PAIRS_SQL} SELECT src, dst, substr(sha1('doc_doc|' || src || '|' || dst), 1, 16) AS request_id FROM pairs WHERE NOT counterparty""")
 def requests_prepared(spark, d):
     """Pairs without a verdict that still holds, with request ids; pairs that share a counterparty have one."""
-    pairs = graph.candidate_pairs(graph.signals(A.facts(spark, d)))
-    cache = graph.pair_signature(pairs.filter("counterparty")).select("pair_key", "signature")
-    return graph.prepare_requests(pairs, cache).select("src", "dst", "request_id")
+    from . import catalogue
+
+    cache = graph.pair_signature(catalogue._pairs(spark, d).filter("counterparty")).select("pair_key", "signature")
+    return graph.prepare_requests_of(graph.profiles(A.facts_by_document(spark, d)), cache, wide=None).select("src", "dst", "request_id")
 
 
 @query(f"""WITH {A.EDGES_SQL} SELECT edge_id, relation, confidence, status FROM edges WHERE relation = 'amount_consistent'""")
