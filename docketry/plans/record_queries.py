@@ -388,9 +388,7 @@ w AS (SELECT edge_id, side, doc_key, unnest(list_transform(shared, lambda s: str
 SELECT edge_id, side, min(fact_id) AS fact_id FROM w JOIN facts USING (doc_key) WHERE contains(replace(value, ',', ''), wanted) GROUP BY 1, 2""")
 def edges_justified(spark, d):
     """For each edge of equal amounts and each side the first fact that holds a shared value."""
-    pairs = graph.candidate_pairs(graph.signals(A.facts(spark, d)))
-    edges = graph.judge(pairs).filter("relation = 'amount_consistent'").join(pairs.select("src", "dst", "shared"), ["src", "dst"])
-    return graph.justify(edges, A.facts(spark, d)).select("edge_id", "side", "fact_id")
+    return graph.judge_justified(graph.profiles(A.facts_by_document(spark, d), proofs=True), "amount_consistent", wide=None)
 
 
 @query(f"""WITH {A.FACTS_SQL}, k AS (SELECT *, CASE WHEN header IN ({", ".join(f"'{w}'" for w in L.FIELD_WORDS)}) THEN 0 WHEN regexp_matches(value, '[0-9]') THEN 1 ELSE 2 END AS rank FROM facts),
