@@ -271,12 +271,10 @@ def copies_replaced(spark, d):
 @query(f"WITH {A.EDGES_SQL}, t AS (SELECT o_orderkey FROM orders WHERE o_orderkey <> 7) SELECT (SELECT count(*) FROM t) AS documents, (SELECT count(*) FROM edges WHERE 'O7' NOT IN (src_doc, dst_doc)) AS edges, 7::BIGINT AS gone, (SELECT max(o_orderkey) + 1 FROM orders) AS next")
 def document_deleted(spark, d):
     """A document gone from every table, its edges too, its number never given again."""
-    from . import catalogue
-
     docs = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_no"), F.concat(F.lit("O"), "o_orderkey").alias("doc_key"))
-    edges = catalogue._edges(spark, d).select("src", "dst")
-    left, stones = ledger.delete_document({"documents": docs, "edges": edges}, "O7", docs.limit(0))
-    one = [left["documents"].agg(F.count("*").alias("documents")), left["edges"].agg(F.count("*").alias("edges")), stones.agg(F.max("doc_no").alias("gone")), ledger.next_numbers(left["documents"], stones)]
+    left, stones = ledger.delete_document({"documents": docs, "profiles": A.profiles(spark, d)}, "O7", docs.limit(0))
+    edges = graph.edge_classes(left["profiles"], few=True)
+    one = [left["documents"].agg(F.count("*").alias("documents")), edges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges")), stones.agg(F.max("doc_no").alias("gone")), ledger.next_numbers(left["documents"], stones)]
     out = one[0]
     for df in one[1:]:
         out = out.join(F.broadcast(df))  # one row each
