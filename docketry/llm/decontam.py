@@ -1,10 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, then checks of word order and of the answer.
 
 Passages are windows of two blocks of BLOCK words, one starting at every block, over whole texts. Document frequencies of
-all words (in DF_SLOTS hashed slots) come from every document. A randomised SVD of the TF-IDF passages of a bounded sample
-of documents (FIT_DOCS), together with all items of the benchmark, weighted alike, gives one latent space of RANK dimensions:
-tasks sum the sketch A'A R of a random matrix R, from which the driver takes the leading right singular vectors (Nystroem's
-formula). The items are projected, and every passage of every document is compared with all items by cosine. Candidates are
+all words (in DF_SLOTS hashed slots) come from every document. A randomised SVD of the TF-IDF blocks of every document,
+together with all items of the benchmark, weighted alike, gives one latent space of RANK dimensions: tasks sum the sketch
+A'A R of a random matrix R, from which the driver takes the leading right singular vectors (Nystroem's formula). The items are projected, and every passage of every document is compared with all items by cosine. Candidates are
 confirmed by the longest common subsequence of words around the passage: LCS_SURE of the item's words in order, or LCS_ANSWER
 of them with the answer's words too (column ``answer``, else the item's last sentence). A passage whose share of its length
 in the benchmark's vocabulary is below the threshold cannot reach it and is skipped.
@@ -37,8 +36,8 @@ from .textbytes import as_bytes
 
 BLOCK = 16
 DF_SLOTS = 1 << 20
-FIT_DOCS = 20_000
-FIT_TASKS = 8
+#: Tasks that add up the tasks' sketches, a share of the vocabulary each.
+ADDING = 8
 ITEMS = 4096
 RANK, OVERSAMPLE = 128, 16
 #: Cosine of candidates; short items get less, as they fill less of a passage.
@@ -174,19 +173,15 @@ def row_sums(matrix: np.ndarray, dim: np.ndarray, block: np.ndarray, lo: int, hi
     return out
 
 
-def fit(docs: DataFrame, space: Space, n_docs: int, seed: int = 23) -> np.ndarray:
-    """Leading right singular vectors [vocabulary, rank] of the TF-IDF passages of a sample of documents and of the items."""
-    v = len(space.vocab)
-    r = min(RANK + OVERSAMPLE, v)
-    test = np.random.default_rng(seed).standard_normal((v, r)).astype(np.float32)
+def sketched(docs: DataFrame, space: Space, test: np.ndarray) -> np.ndarray:
+    """A'A times a matrix [vocabulary, any], where A has the TF-IDF row of each block of every document."""
     weighted = (space.weight[:, None] * test).astype(np.float32)
-    share = min(1.0, FIT_DOCS / max(1, n_docs))
     shared = docs.sparkSession.sparkContext.broadcast((space, weighted))
     schema = pa.schema([("dim", pa.int32()), ("sums", pa.binary())])
 
     def run(batches):
         space, weighted = shared.value
-        total = np.zeros(weighted.shape, np.float32)
+        total = np.zeros(weighted.shape, np.float64)
         for b in batches:
             data, off = as_bytes(b.column("text"))
             for i, j in pieces(off):
@@ -202,18 +197,33 @@ def fit(docs: DataFrame, space: Space, n_docs: int, seed: int = 23) -> np.ndarra
                     starts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
                     total[d[starts]] += np.add.reduceat(z[block[x:y][order] - lo], starts, axis=0)
         some = np.flatnonzero(np.abs(total).sum(1) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([total[k].tobytes() for k in some], pa.binary())], schema=schema)
-
-    # Blocks rather than windows are the sample's rows; FIT_TASKS tasks bound what reaches the driver.
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.lower("text").alias("text")).repartition(FIT_TASKS)
-    sketch = np.zeros((v, r), np.float64)
-    for row in sample.mapInArrow(run, "dim int, sums binary").toLocalIterator():
-        sketch[row["dim"]] += np.frombuffer(row["sums"], np.float32)
-    sketch *= space.weight[:, None]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([total[k].astype(np.float32).tobytes() for k in some], pa.binary())], schema=schema)
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, sums in zip(b.column("dim").to_pylist(), b.column("sums").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(sums, np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], schema=schema)
+
+    # Sorted, so that sums don't depend on which task comes first. The driver gets one row for each word of the vocabulary.
+    each = docs.select(F.lower("text").alias("text")).mapInArrow(run, "dim int, sums binary")
+    out = np.zeros(weighted.shape, np.float64)
+    for row in each.repartition(ADDING, "dim").sortWithinPartitions("dim", "sums").mapInArrow(add, "dim int, sums binary").toLocalIterator():
+        out[row["dim"]] = np.frombuffer(row["sums"], np.float64)
+    return out * space.weight[:, None]
+
+
+def fit(docs: DataFrame, space: Space, seed: int = 23) -> np.ndarray:
+    """Leading right singular vectors [vocabulary, rank] of the TF-IDF blocks of all documents and of the items."""
+    v = len(space.vocab)
+    r = min(RANK + OVERSAMPLE, v)
+    test = np.random.default_rng(seed).standard_normal((v, r)).astype(np.float32)
+    sketch = sketched(docs, space, test)
     own = space.of_items(test)
     items = np.zeros((v, r), np.float64)
     np.add.at(items, space.dims, space.values[:, None] * np.repeat(own, np.diff(space.at), axis=0))
-    sketch += items * max(1.0, np.linalg.norm(sketch) / max(1e-9, np.linalg.norm(items)))  # the items weigh as much as the sample
+    sketch += items * max(1.0, np.linalg.norm(sketch) / max(1e-9, np.linalg.norm(items)))  # the items weigh as much as the documents
     core = test.T @ sketch
     core = (core + core.T) / 2
     val, vec = np.linalg.eigh(core)
@@ -414,7 +424,7 @@ def finder_of(docs: DataFrame, benchmark: DataFrame) -> Finder | None:
         return None
     df, n_blocks = frequencies(docs)
     space = Space(items, np.log((1.0 + n_blocks) / (1.0 + df)).astype(np.float32) + 0.1)
-    return Finder(space, fit(docs, space, docs.count()), items)
+    return Finder(space, fit(docs, space), items)
 
 
 def judge(finder: Finder | None, text) -> tuple[np.ndarray, list[set], np.ndarray, np.ndarray]:

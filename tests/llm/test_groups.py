@@ -300,3 +300,12 @@ def test_cosines_of_passages_with_repeated_words():
         if c >= 0.501:
             assert got[key] == pytest.approx(c, abs=1e-4)
     assert set(got) <= {key for key, c in want.items() if c >= 0.499}
+
+
+def test_f18_latent_space_of_every_document(spark):
+    docs = spark.range(25_000).selectExpr("id doc_id", "'Alpha beta, gamma' text")
+    word = lambda x: decontam.tokens(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
+    space = decontam.Space([{"words": word(b"alpha beta delta"), "answer": word(b"alpha"), "item_id": 1}], np.ones(decontam.DF_SLOTS, np.float32))
+    got = decontam.sketched(docs, space, np.eye(3, dtype=np.float32))
+    both = [space.dim[int(w) & (decontam.DF_SLOTS - 1)] for w in word(b"alpha beta")]
+    assert all(got[i, j] == 25_000 for i in both for j in both) and got.sum() == 4 * 25_000
