@@ -356,8 +356,10 @@ def edge_verdict(spark, d):
     """One edge rejected by a person."""
     from . import catalogue
 
+    # The least id comes from the same plan, so that both readings of the edges share what is shuffled to find pairs.
     e = catalogue._edges(spark, d)
-    return graph.set_status(e, e.agg(F.min("edge_id")).first()[0], "rejected").select("edge_id", "status")
+    least = F.broadcast(e.agg(F.min("edge_id").alias("least")))  # one row
+    return graph.set_status(e.join(least), F.col("least"), "rejected").select("edge_id", "status")
 
 
 @query(f"""WITH {A.PAIRS_SQL} SELECT src, dst, substr(sha1('doc_doc|' || src || '|' || dst), 1, 16) AS request_id FROM pairs WHERE NOT counterparty""")
