@@ -120,3 +120,23 @@ def test_f13_least_id_in_the_same_plan(spark, sf):
     df = entry.queries()["edge_verdict"](spark, sf)
     assert "min(edge_id" in df._jdf.queryExecution().optimizedPlan().toString()  # it was collected by a job of its own
     assert df.filter("status = 'rejected'").count() == 1
+
+def test_f14_row_top2_equals_brute_force(spark, sf, sig):
+    """The closest documents of rows are those of all pairs; pairs are neither made nor shuffled where nodes have few signals."""
+    docs = sig.filter("doc_key < '25'")
+    of = sig.filter("doc_key > '04'").withColumn("node", F.concat(F.lit("row:"), "doc_key", F.lit("r"), F.pmod(F.hash("value"), F.lit(2)).cast("string")))
+    have = {}
+    for name, df in (("row", of), ("doc", docs)):
+        for r in df.collect():
+            have.setdefault((name, r["node"], r["doc_key"]), set()).add((r["kind"], r["value"]))
+    want = []
+    for (name, src, key), own in have.items():
+        near = sorted((-len({k for k, _ in own & held}), dst) for (side, dst, other), held in have.items() if (name, side) == ("row", "doc") and other != key and own & held)
+        want += [(src, dst, -less, i + 1) for i, (less, dst) in enumerate(near[:2])]
+    assert rows(graph.row_candidates(of, docs)) == sorted(want, key=repr) and want
+    none = F.lit(None).cast("string")
+    members = graph.profiles_of(of).withColumnRenamed("node", "src").withColumn("dst", none).unionByName(graph.profiles_of(docs).withColumnRenamed("node", "dst").withColumn("src", none))
+    for most in (1, 3, 8):
+        assert rows(graph.row_candidates_of(members, F.col("src"), F.col("dst"), most=most, wide=members if most == 3 else None)) == sorted(want, key=repr)
+    plan = entry.queries()["row_doc_top2"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\((src|dst)", plan) and "SortMergeJoin" not in plan
