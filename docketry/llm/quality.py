@@ -3,7 +3,8 @@
 Bytes are embedded and cut into blocks of STEP; a filter spans SPAN blocks and is applied at every block, so the
 windows overlap. Over chunks of CHUNK blocks, which together cover the whole document, each filter's responses are
 max-pooled; the chunks' maxima are pooled again by maximum and by mean, and a logistic unit makes one probability of them.
-The network is trained by Adam on at most PER_LABEL labelled texts of each class.
+The network is trained by Adam, at first on at most PER_LABEL labelled texts of each class, then on every labelled text: tasks
+learn apart from their own texts, from the same network on, and their weights are averaged. Classes weigh by their numbers over all.
 
 Nulls and odd rows: a null text is empty and is scored as such; with no labels at all, or of one class only, every score
 is that class's (0.5 without any); repeated rows are scored row by row; an empty table gives an empty result. Labels,
@@ -12,6 +13,8 @@ lang, source and doc_id are never inputs of a score.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import fold, keep_rows
 from .shingles import pieces
-from .textbytes import as_bytes, labelled_sample, trained
+from .textbytes import as_bytes, averaged, labelled, labelled_sample, trained
 
 PER_LABEL = 500
 EPOCHS = 12
+#: Adam's rate in the pass over all texts.
+RATE = 0.001
 STEP, SPAN, CHUNK = 4, 3, 64
 EMBED, FILTERS = 8, 24
 #: Blocks convolved at a time, so that the working set stays in cache.
@@ -109,15 +114,14 @@ def gradient(m: dict, blocks: np.ndarray, y: float, weight: float, g: dict) -> N
     if not len(r):
         return
     pos, val = where[r, c], dh[r, c]
-    np.add.at(g["b"], c, val)
+    g["b"] += dh.sum(0)
+    spread = np.zeros((len(c), FILTERS), dh.dtype)
+    spread[np.arange(len(c)), c] = val
     for k in range(SPAN):
-        xs = x[pos + k] * val[:, None]
-        for f in range(FILTERS):
-            mine = c == f
-            if mine.any():
-                g["w"][k, :, f] += xs[mine].sum(0)
-        de = (val[:, None] * m["w"][k].T[c]).reshape(-1, EMBED)
-        np.add.at(g["e"], blocks[pos + k].ravel(), de)
+        g["w"][k] += x[pos + k].T @ spread
+        de = (spread @ m["w"][k].T).reshape(-1, EMBED)
+        at = blocks[pos + k].ravel().astype(np.int64)[:, None] * EMBED + np.arange(EMBED)
+        g["e"] += np.bincount(at.ravel(), de.ravel(), 256 * EMBED).reshape(256, EMBED).astype(g["e"].dtype)
 
 
 def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 16, seed: int = 1) -> dict:
@@ -149,10 +153,40 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 16, se
     return m
 
 
+def refine(first: dict, rows, share: dict[int, int], batch: int = 16) -> tuple[int, np.ndarray]:
+    """One pass of Adam over (text, 0 or 1) from first on: the number of texts, and the changes of all weights as one vector.
+    share: texts of each class."""
+    m, total = {k: x.copy() for k, x in first.items()}, sum(share.values())
+    mean, var, t, n = {k: np.zeros_like(x) for k, x in m.items()}, {k: np.zeros_like(x) for k, x in m.items()}, 0, 0
+    while part := list(itertools.islice(rows, batch)):
+        g = {k: np.zeros_like(x) for k, x in m.items()}
+        for text, y in part:
+            raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+            gradient(m, to_blocks(raw, np.array([0, len(raw)]))[0], int(y), 0.5 * total / share[int(y)], g)
+        n, t = n + len(part), t + 1
+        for k in m:
+            d = g[k] / len(part) + 1e-5 * m[k]
+            mean[k] = 0.9 * mean[k] + 0.1 * d
+            var[k] = 0.99 * var[k] + 0.01 * d * d
+            m[k] -= (RATE * (mean[k] / (1 - 0.9**t)) / (np.sqrt(var[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+    return n, np.concatenate([(m[k] - first[k]).ravel() for k in first])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The network from labelled documents whose fold is not 1."""
+    """The network from all labelled documents whose fold is not 1."""
     known = labels.filter(fold(F.col("doc_id"), 3) != 1)
-    return trained(labelled_sample(docs, known, "quality", PER_LABEL), train)
+    rows = labelled(docs.filter(fold(F.col("doc_id"), 3) != 1), known, "quality")
+    share = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(share) < 2:
+        return {"constant": float(min(share)) if share else 0.5}
+    model = trained(labelled_sample(docs, known, "quality", PER_LABEL), train)
+    if "constant" in model:  # the sample's documents of a class are missing
+        model = new_model()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n, v = averaged(rows, lambda texts: refine(shared.value, texts, share))
+    shared.destroy()
+    at = np.cumsum([0, *(x.size for x in model.values())])
+    return {k: (x + v[a : a + x.size].reshape(x.shape)).astype(np.float32) for a, (k, x) in zip(at, model.items(), strict=False)} if n else model
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

@@ -1,15 +1,22 @@
-"""Views of Arrow string columns as bytes, and bounded samples of labelled rows for training."""
+"""Views of Arrow string columns as bytes, bounded samples of labelled rows to start a training from, and its pass over all rows."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 #: Parts in which the ids of a label are ranked before they are ranked together.
 SPLITS = 64
+#: Values of a vector that travel in one row, and tasks a core that learn apart: small files are learnt from together.
+SLICE, TASKS = 1 << 14, 4
+#: Texts that a task holds as strings.
+AT_ONCE = 64
 
 
 def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -46,3 +53,36 @@ def trained(sample: DataFrame, train) -> dict:
     """train([(text, y), ...]) of a labelled sample, whose size labelled_sample bounds, on the driver."""
     rows = sorted(sample.collect(), key=lambda r: (str(r["y"]), r["doc_id"], r["text"]))
     return train([(r["text"], r["y"]) for r in rows])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(text, y) of every row of docs whose text isn't null and whose doc_id has a value of labels[label], the greatest of several."""
+    y = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    return docs.filter("text is not null").select("doc_id", "text").join(y, "doc_id").select("text", "y")
+
+
+def averaged(rows: DataFrame, learn) -> tuple[int, np.ndarray]:
+    """All rows (text, y) learnt from: each task gives learn's vector of its own rows, and tasks weigh by their number of rows.
+
+    learn takes an iterator of (text, y) and gives their number and a vector. Vectors are added in slices in the executors; the
+    driver gets one vector. The mean depends on how rows are dealt to tasks, not on the order in which tasks end.
+    """
+    def run(batches):
+        few = (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE))
+        n, v = learn((t, y) for b in few for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True))
+        if n:
+            part = TaskContext.get().partitionId()
+            v = v.astype(np.float32)
+            for k, at in enumerate(range(0, len(v), SLICE)):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part]), pa.array([n]), pa.array([zlib.compress(v[at : at + SLICE].tobytes(), 1)], pa.binary())], names=["k", "part", "n", "v"])
+
+    def add(table):
+        each = sorted(zip(table.column("part").to_pylist(), table.column("n").to_pylist(), table.column("v").to_pylist(), strict=True))
+        total = sum(np.frombuffer(zlib.decompress(v), np.float32).astype(np.float64) * n for _, n, v in each)
+        return pa.table({"k": table.column("k")[:1], "n": pa.array([sum(n for _, n, _ in each)]), "v": pa.array([total.tobytes()], pa.binary())})
+
+    tasks = TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.coalesce(tasks).mapInArrow(run, "k long, part long, n long, v binary")
+    got = sorted(parts.groupBy("k").applyInArrow(add, "k long, n long, v binary").collect(), key=lambda r: r["k"])
+    n = got[0]["n"] if got else 0
+    return n, np.concatenate([np.frombuffer(r["v"], np.float64) for r in got]) / n if got else np.zeros(0)

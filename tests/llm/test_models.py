@@ -8,8 +8,11 @@ import zlib
 import numpy as np
 import pytest
 from common_data import LOW, frame, texts, words
+from pyspark.sql import functions as F
 
 from docketry.llm import langid, lm, quality, tokens
+from docketry.llm.common import fold
+from docketry.llm.textbytes import labelled_sample
 
 
 def test_language(spark):
@@ -267,3 +270,25 @@ def test_tokens(spark):
     for r in tokens.count_tokens(frame(spark, rows), path, public_tokenizers.PATTERN).collect():
         n = len(lib.encode(truth[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(truth[r["doc_id"]].encode()), n, n > 512)
+
+
+def test_f19_every_labelled_text_is_learnt_from(spark, monkeypatch):
+    """A text outside the sample that training starts from changes the model, and its n-grams get weights."""
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 4)
+    monkeypatch.setattr(quality, "PER_LABEL", 4)
+    rows = quality_rows(60)
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(i, t, "en" if y else "de") for i, t, y in rows], schema)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    for fit, by, label, n, rest in ((lambda d: langid.fit(d), docs, "lang", 4, 2), (lambda d: quality.fit(d, labels), labels, "quality", 3, 1)):
+        known = by.filter(fold(F.col("doc_id"), n) != rest)
+        used = {r["doc_id"] for r in labelled_sample(docs, known, label, 4).collect()}
+        other = next(i for i, *_ in rows if i not in used and zlib.crc32(str(i).encode()) % n != rest)
+        changed = docs.withColumn("text", F.when(F.col("doc_id") == other, F.lit("QXJ qxj " * 20)).otherwise(F.col("text")))
+        before, after = fit(docs), fit(changed)
+        weights = [k for k in before if k in ("w", "e")]
+        assert any(not np.array_equal(before[k], after[k]) for k in weights)
+        assert all(np.array_equal(after[k], again) for k, again in ((k, fit(changed)[k]) for k in weights))
+        if label == "lang":
+            idx, _ = langid.features(b"qxj")
+            assert (after["w"][:, idx] != 0).all()
