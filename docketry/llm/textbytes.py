@@ -17,6 +17,8 @@ SPLITS = 64
 SLICE, TASKS = 1 << 14, 4
 #: Texts that a task holds as strings.
 AT_ONCE = 64
+#: Words of 64 bits in a Bloom filter of ids, and the bits that an id sets in its word.
+FILTER_WORDS, FILTER_BITS = 1 << 19, 3
 
 
 def as_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +57,26 @@ def trained(sample: DataFrame, train) -> dict:
     return train([(r["text"], r["y"]) for r in rows])
 
 
+def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts (doc_id, text) whose doc_id is in ids, and a few others, without a shuffle of texts.
+
+    A Bloom filter is broadcast: at most FILTER_WORDS rows, however many ids there are. With more ids more of the other rows
+    stay (3 % of them at four million ids, 22 % at ten million, by a simulation), but never is a row of ids lost.
+    """
+    h = "xxhash64(29, cast(doc_id as string))"
+    bits = " | ".join(f"shiftleft(1L, cast(shiftright({h}, {32 + 6 * k}) & 63 as int))" for k in range(FILTER_BITS))
+    word, mask = F.expr(f"cast(pmod({h}, {FILTER_WORDS}) as int)").alias("word"), F.expr(bits).alias("mask")
+    bloom = ids.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("all"))
+    return texts.select("doc_id", "text", word, mask).join(F.broadcast(bloom), "word").filter("(`all` & mask) = mask").select("doc_id", "text")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(text, y) of every row of docs whose text isn't null and whose doc_id has a value of labels[label], the greatest of several."""
-    y = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    return docs.filter("text is not null").select("doc_id", "text").join(y, "doc_id").select("text", "y")
+    """(text, y) of every row of docs whose text isn't null and whose doc_id has a value of labels[label], the greatest of several.
+
+    Texts without a label are left out where they are read, but for few, and the join then decides."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    y = known.groupBy("doc_id").agg(F.max(label).alias("y"))
+    return likely(docs.filter("text is not null").select("doc_id", "text"), known).join(y, "doc_id").select("text", "y")
 
 
 def averaged(rows: DataFrame, learn) -> tuple[int, np.ndarray]:

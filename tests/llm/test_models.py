@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import langid, lm, quality, tokens
 from docketry.llm.common import fold
-from docketry.llm.textbytes import labelled_sample
+from docketry.llm.textbytes import labelled, labelled_sample, likely
 
 
 def test_language(spark):
@@ -292,3 +292,45 @@ def test_f19_every_labelled_text_is_learnt_from(spark, monkeypatch):
         if label == "lang":
             idx, _ = langid.features(b"qxj")
             assert (after["w"][:, idx] != 0).all()
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages of the session have written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_op4_texts_without_label_are_not_shuffled(spark):
+    """Where labels are too many for a broadcast, few texts but the labelled ones move, and no labelled one is lost."""
+    rnd = random.Random(5)
+    rows = [(i % 390, rnd.randbytes(10_000).hex() if i % 50 else None) for i in range(400)] + [(None, "a")]
+    marks = [(i, i // 3 % 2) for i in range(0, 390, 13)] + [(0, 1), (13, None), (None, 1), (9999, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id int, quality int")
+    best = {}
+    for i, y in marks:
+        if i is not None and y is not None:
+            best[i] = max(y, best.get(i, 0))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = docs.localCheckpoint()
+        before = shuffled_bytes(spark)
+        got = labelled(docs, labels, "quality").collect()
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = sorted((t, best[i]) for i, t in rows if t is not None and i in best)
+    assert sorted(tuple(r) for r in got) == want
+    assert sum(len(t) for t, _ in want) / 3 < moved < sum(len(t) for _, t in rows if t) / 5
+
+
+def test_op4_the_filter_loses_no_id(spark, monkeypatch):
+    """A filter that is too small for its ids keeps rows that aren't asked for, but each that is."""
+    texts = spark.range(4000).selectExpr("id as doc_id", "'t' as text")
+    for words, most in ((1 << 19, 410), (16, 4000)):
+        monkeypatch.setattr("docketry.llm.textbytes.FILTER_WORDS", words)
+        got = {r["doc_id"] for r in likely(texts, texts.filter("doc_id % 10 = 0")).collect()}
+        assert got >= set(range(0, 4000, 10)) and len(got) <= most
