@@ -367,8 +367,8 @@ def requests_prepared(spark, d):
     """Pairs without a verdict that still holds, with request ids; pairs that share a counterparty have one."""
     from . import catalogue
 
-    cache = graph.pair_signature(catalogue._pairs(spark, d).filter("counterparty")).select("pair_key", "signature")
-    return graph.prepare_requests_of(graph.profiles(A.facts_by_document(spark, d)), cache, wide=None).select("src", "dst", "request_id")
+    cache = graph.pair_signature(catalogue._pairs(spark, d, "counterparty")).select("pair_key", "signature")
+    return graph.prepare_requests_of(A.profiles(spark, d).drop("node"), cache, wide=None, parts=A.pair_parts(spark, d)).select("src", "dst", "request_id")
 
 
 @query(f"""WITH {A.EDGES_SQL} SELECT edge_id, relation, confidence, status FROM edges WHERE relation = 'amount_consistent'""")
