@@ -401,7 +401,9 @@ def cards_assembled(spark, d):
     docs = o.select(F.col("o_orderkey").alias("doc_no"), key, F.lit("合同").alias("category"), F.lit("").alias("summary"))
     each = F.array(F.struct(F.lit("status").alias("code"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("doc_type").alias("code"), F.col("o_orderpriority").alias("value")))
     features = o.filter("o_custkey % 2 = 0").select(key, F.explode(each).alias("f")).select("doc_key", "f.*")
-    return cards.load_cards(docs, features, A.facts(spark, d)).select("doc_no", "doc_key", "features", F.array_join("key_facts", ";").alias("key_facts"))
+    # All documents' facts are read; those of invoices have no card here and are left before they are brought together.
+    own = A.facts_by_document(spark, d).filter("doc_key like 'O%'")
+    return cards.load_cards(docs, features, own).select("doc_no", "doc_key", "features", F.array_join("key_facts", ";").alias("key_facts"))
 
 
 @query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label AS doc_key, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS similarity FROM embeddings, q)
